@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate
+from tidemark.llm import decontaminate, packing, token_store
 from tidemark.llm.base import table
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.report(table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,6 +42,8 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 QUERIES = {
+    "op2_token_store": op2_token_store,
+    "op5_packing": op5_packing,
     "op9_decontaminate": op9_decontaminate,
 }
 
