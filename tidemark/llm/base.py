@@ -70,8 +70,8 @@ def utf8(text: Column) -> Column:
     return text.cast("binary")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column, bound: int) -> DataFrame:
-    """(doc_id, label, text) of at most ``bound`` labelled documents of a fold, chosen by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column, bound: int, *more: Column) -> DataFrame:
+    """(doc_id, label, text and ``more``) of at most ``bound`` labelled documents of a fold, chosen by a hash of the id.
 
     Rows with a null id or label are left out; an id labelled twice counts once, with its largest label, and an id
     that several documents bear gives one of their texts. The chosen ids are at most ``bound`` rows, which is the
@@ -85,7 +85,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(bound)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    return docs.select("doc_id", "text", *more).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
 
 
 class WordHash(dict):
