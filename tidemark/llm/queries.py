@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, language, packing, quality_fm, token_store, toxicity
+from tidemark.llm import decontaminate, language, packing, quality_fm, token_store, toxicity, warc_zip
 from tidemark.llm.base import table
 
 
@@ -20,6 +20,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.report(table(spark, sf_dir, "pages"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,15 +57,28 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS hex FROM pages),
+f AS (SELECT page_id, h, hex, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, 5 * (j // 4) + 1, 5))::INT >> (15 - 5 * (j % 4))) & 31)::INT + 1, 1)
+                        FOR j IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM f
+"""
+
 QUERIES = {
     "op2_token_store": op2_token_store,
     "op3_quality": op3_quality,
     "op5_packing": op5_packing,
+    "op7_warc_zip": op7_warc_zip,
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
     "op10_language": op10_language,
 }
 
 ORACLE_SQL = {
+    "op7_warc_zip": OP7_SQL,
     "op9_decontaminate": OP9_SQL,
 }
