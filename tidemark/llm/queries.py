@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, language, packing, quality_fm, token_store, toxicity, warc_zip
+from tidemark.llm import decontaminate, language, packing, quality_fm, secrets, token_store, toxicity, warc_zip
 from tidemark.llm.base import table
 
 
@@ -20,6 +20,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.report(table(spark, sf_dir, "pages"))
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op2_token_store": op2_token_store,
     "op3_quality": op3_quality,
     "op5_packing": op5_packing,
+    "op6_secrets": op6_secrets,
     "op7_warc_zip": op7_warc_zip,
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
