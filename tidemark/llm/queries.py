@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, language, packing, quality_fm, secrets, token_store, toxicity, warc_zip
+from tidemark.llm import decontaminate, language, packing, quality_fm, quality_rules, secrets, token_store, toxicity, warc_zip
 from tidemark.llm.base import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.report(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ FROM f
 """
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_token_store": op2_token_store,
     "op3_quality": op3_quality,
     "op5_packing": op5_packing,
