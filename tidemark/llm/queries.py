@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, language, packing, quality_fm, quality_rules, secrets, token_store, toxicity, warc_zip
+from tidemark.llm import decontaminate, language, near_dup, packing, quality_fm, quality_rules, secrets, token_store, toxicity, warc_zip
 from tidemark.llm.base import table
 
 
@@ -20,6 +20,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.report(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,19 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+OP4_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + n - 1], ' ') AS g
+      FROM (SELECT doc_id, w, least(5, len(w)) AS n, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM w WHERE len(w) > 0)),
+k AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN k x ON x.doc_id = a JOIN k y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT a AS doc_id, b AS met FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.met)
+SELECT w.doc_id, coalesce(k.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(m.c, w.doc_id)) AS component_id,
+       w.doc_id = least(w.doc_id, coalesce(m.c, w.doc_id)) AS kept
+FROM w LEFT JOIN k USING (doc_id) LEFT JOIN (SELECT doc_id, min(met) AS c FROM r GROUP BY doc_id) m USING (doc_id)
+"""
+
 OP7_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS hex FROM pages),
 f AS (SELECT page_id, h, hex, min(page_id) OVER (PARTITION BY h) AS first FROM p)
@@ -80,6 +97,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_store": op2_token_store,
     "op3_quality": op3_quality,
+    "op4_near_dup": op4_near_dup,
     "op5_packing": op5_packing,
     "op6_secrets": op6_secrets,
     "op7_warc_zip": op7_warc_zip,
@@ -89,6 +107,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_near_dup": OP4_SQL,
     "op7_warc_zip": OP7_SQL,
     "op9_decontaminate": OP9_SQL,
 }
