@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.base import materialise
-from tidemark.llm.tokens import Encoder, tokenizer_path
+from tidemark.llm.tokens import encoder, tokenizer_path
 
 CAPACITY = 2048
 #: Patterns enumerated at most; beyond them triples of the less frequent lengths are left to the residual packing.
@@ -182,12 +182,12 @@ def _cutter(tokenizer: str, end_id: int, capacity: int, keep_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer).encode, TaskContext.get().partitionId()
         end, seen = np.array([end_id], "<u2").tobytes(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             cols: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "rank", "ids")}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(encoder.encode(text.as_py() or "") + end, "<u2")
+                ids = np.frombuffer(encode(text.as_py() or "") + end, "<u2")
                 first = (len(ids) - 1) % capacity + 1
                 for k, a in enumerate([0, *range(first, len(ids), capacity)]):
                     own = ids[a : first if k == 0 else a + capacity]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.base import mixed, scratch
-from tidemark.llm.tokens import Encoder, tokenizer_path
+from tidemark.llm.tokens import encoder, tokenizer_path
 
 MAGIC = 0x31_48_50_4D_44_49_54
 SEEDS = np.random.default_rng(2).integers(0, 2**63, 64, dtype=np.uint64)
@@ -158,7 +158,7 @@ def _writer(path: str, tokenizer: str, end_id: int | None):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = Encoder(tokenizer)
+        encode = encoder(tokenizer).encode
         fs, root = file_system(path)
         name = uuid.uuid4().hex  # a task that runs twice leaves a file that no manifest names
         end = b"" if end_id is None else np.array([end_id], "<u2").tobytes()
@@ -173,7 +173,7 @@ def _writer(path: str, tokenizer: str, end_id: int | None):
             null.append(key.is_null().to_numpy(zero_copy_only=False))
             ids.append(key.fill_null(0).to_numpy())
             for t in batch.column(1):
-                got = encoder.encode(t.as_py() or "") + end
+                got = encode(t.as_py() or "") + end
                 out.write(got)
                 lengths.append(len(got) // 2)
         if out is None:
