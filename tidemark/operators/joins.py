@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.lineage import cut
+
 
 def shared_reference_pairs(df: DataFrame, tx: str, ref: str, at: str, within: float | None = None) -> DataFrame:
     """tx_a, tx_b, shared_count, delta of transactions that share references (collisions); the earlier one is a.
@@ -63,18 +65,23 @@ def cycles(edges: DataFrame, start: str = "src", end: str = "dst", at: str = "sl
     by hop; an origin that was reached again leaves, and addresses met before are not met again. cycle_length is hops + 1,
     as a return on the first onward hop is a cycle of two.
     """
-    e = edges.select(F.col(start).alias("u"), F.col(end).alias("v"), F.col(at).alias("s")).filter("u <> v")
+    e = cut(edges.select(F.col(start).alias("u"), F.col(end).alias("v"), F.col(at).alias("s")).filter("u <> v"))
     front = e.groupBy(F.col("u").alias("origin"), F.col("v").alias("at")).agg(F.min("s").alias("slot"))
-    front = front.join(front.groupBy("origin").agg(F.min("slot").alias("first")), "origin")
+    front = cut(front.join(front.groupBy("origin").agg(F.min("slot").alias("first")), "origin"))
     seen, found = front.select("origin", F.col("at").alias("addr")), None
     for hop in range(1, hops + 1):
         step = front.join(e, F.col("at") == F.col("u")).filter((F.col("s") >= F.col("slot")) & (F.col("s") <= F.col("first") + reach))
         if rows_a_hop is not None:
             step = step.withColumn("_n", F.row_number().over(W.partitionBy("origin").orderBy("s", "u", "v"))).filter(F.col("_n") <= rows_a_hop).drop("_n")
+        step = cut(step.select("origin", "v", "s", "first"))
         back = step.filter("v = origin").groupBy("origin").agg(F.min("s").alias("slot")).select("origin", F.lit(hop + 1).alias("cycle_length"), "slot")
-        found = back if found is None else found.unionByName(back.join(found.select("origin"), "origin", "left_anti"))
-        onward = step.filter("v <> origin").groupBy("origin", F.col("v").alias("at")).agg(F.min("s").alias("slot"), F.min("first").alias("first"))
-        front = onward.join(seen, (onward["origin"] == seen["origin"]) & (onward["at"] == seen["addr"]), "left_anti").join(found.select("origin"), "origin", "left_anti")
+        found = back if found is None else found.unionByName(back)
+        if hop == hops:
+            break
+        onward = step.join(back.select("origin"), "origin", "left_anti").groupBy("origin", F.col("v").alias("at")).agg(F.min("s").alias("slot"), F.min("first").alias("first"))
+        front = cut(onward.join(seen.withColumnRenamed("addr", "at"), ["origin", "at"], "left_anti"))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front.select("origin", F.col("at").alias("addr")))
     return found
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scoring as S
 from tidemark.operators import joins, stats, versions
+from tidemark.plans import cluster, score
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -658,3 +659,40 @@ def hybrid_union(spark, sf_dir):
 @query("SELECT max(o_custkey) AS top, min(o_custkey) FILTER (o_custkey > 0) AS least, count(DISTINCT o_custkey) AS n FROM orders")
 def history_boundary(spark, sf_dir):
     return t(spark, sf_dir, "orders").agg(F.max("o_custkey").alias("top"), F.min(F.when(F.col("o_custkey") > 0, F.col("o_custkey"))).alias("least"), F.countDistinct("o_custkey").alias("n"))
+
+
+# --- payloads and clusters, which SQL can't express -------------------------------------------------------------------
+
+
+def order_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """network, raw_data: an order as a transaction's payload, its lines as outputs with assets."""
+    line = t(spark, sf_dir, "lineitem")
+    script = F.when(F.col("l_partkey") % 5 == 0, "addr_test1w").otherwise("addr_test1q")
+    coin = F.create_map(F.lit("lovelace"), (F.col("l_extendedprice") * 100).cast("long"))
+    asset = F.create_map(F.lpad(F.hex("l_partkey"), 12, "0"), F.pow(F.lit(10.0), F.col("l_quantity") % 19).cast("long"))
+    value = F.map_concat(F.create_map(F.lit("ada"), coin), F.create_map(F.lpad(F.hex("l_suppkey"), 56, "0"), asset))
+    out = F.struct(F.concat(script, F.lpad(F.col("l_suppkey").cast("string"), 20, "q")).alias("address"), value.alias("value"))
+    outputs = line.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", F.to_json(out).alias("o")))).alias("x"))
+    rows = t(spark, sf_dir, "orders").join(outputs, F.col("l_orderkey") == F.col("o_orderkey"))
+    raw = F.concat(
+        F.lit('{"id":"'), F.col("o_orderkey").cast("string"), F.lit('","fee":'), F.col("o_totalprice").cast("long").cast("string"), F.lit(',"inputs":[],"outputs":['),
+        F.array_join(F.transform("x", lambda o: o["o"]), ","), F.lit("]}"),
+    )
+    return rows.select(F.lit("n").alias("network"), raw.alias("raw_data"))
+
+
+@query()
+def payload_scores(spark, sf_dir):
+    return score.score(order_payloads(spark, sf_dir))
+
+
+@query()
+def output_features(spark, sf_dir):
+    return score.output_features(score.parse(order_payloads(spark, sf_dir))).drop("datum_hex")
+
+
+@query()
+def contract_outliers(spark, sf_dir):
+    """Clusters and outliers of each segment's most recent customers."""
+    rows = t(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("nation"))
+    return cluster.outliers(cluster.recent(rows, "c_mktsegment", [F.desc("c_custkey")], 300), "c_mktsegment", "c_custkey", ["c_acctbal", "nation"], eps=0.3)
