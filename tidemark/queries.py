@@ -12,8 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring as S
+from tidemark.functions import text as T
 from tidemark.operators import joins, stats, versions
-from tidemark.plans import cluster, score
+from tidemark.plans import cluster, score, scorers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -661,6 +662,83 @@ def history_boundary(spark, sf_dir):
     return t(spark, sf_dir, "orders").agg(F.max("o_custkey").alias("top"), F.min(F.when(F.col("o_custkey") > 0, F.col("o_custkey"))).alias("least"), F.countDistinct("o_custkey").alias("n"))
 
 
+# --- scorers over columns at hand -------------------------------------------------------------------------------------
+
+
+def _n(v: str, p50: float, p99: float) -> str:
+    return f"least(greatest(({v} - {p50}) / ({p99} - {p50} + 1e-6), 0), 1)"
+
+
+def _scored(spark: SparkSession, sf_dir: str, features: dict[str, str], scorer) -> DataFrame:
+    rows = t(spark, sf_dir, "part").select("p_partkey", *[F.expr(x).alias(k) for k, x in features.items()])
+    return rows.select("p_partkey", scorer({k: F.col(k) for k in features}).alias("r")).select("p_partkey", F.col("r.score").alias("score"))
+
+
+@query(
+    f"""WITH f AS (SELECT p_partkey, p_size % 4 AS tokens, p_size % 3 > 0 AS script, 10 + p_size % 12 AS digits, p_retailprice AS bytes, 1000000.0 + p_partkey * 500 AS ada FROM part),
+s AS (SELECT *, {_n('digits', 13, 19)} AS d, round_even(100 * least(greatest(0.55 * {_n('digits', 13, 19)} + 0.20 * {_n('bytes', 100, 1500)} + 0.15 * (1 - {_n('ada', 1.2e6, 2e6)}), 0), 1), 2) AS raw FROM f)
+SELECT p_partkey, CASE WHEN script AND tokens BETWEEN 1 AND 2 THEN CASE WHEN d < 0.05 THEN least(raw, 30) ELSE raw END ELSE -1 END AS score FROM s"""
+)
+def scorer_large_value(spark, sf_dir):
+    f = {"tokens": "p_size % 4", "is_script": "p_size % 3 > 0", "digits": "10 + p_size % 12", "value_bytes": "p_retailprice", "ada": "1000000D + p_partkey * 500"}
+    return _scored(spark, sf_dir, f, scorers.large_value)
+
+
+@query(
+    f"""WITH f AS (SELECT p_partkey, p_size AS tokens, p_size % 3 > 0 AS script, p_retailprice AS bytes, 1000000.0 + p_partkey * 500 AS ada, p_size % 7 = 0 AS known FROM part),
+s AS (SELECT *, round_even(100 * least(greatest(0.35 * {_n('bytes', 100, 1500)} + 0.35 * {_n('tokens', 1, 20)} + 0.15 * (1 - {_n('ada', 1.2e6, 2e6)}), 0), 1), 2) AS raw FROM f)
+SELECT p_partkey, CASE WHEN script AND tokens >= 2 AND (tokens >= 15 OR bytes >= 1000) THEN CASE WHEN tokens < 15 OR known THEN least(raw, 59) ELSE raw END ELSE -1 END AS score FROM s"""
+)
+def scorer_token_dust(spark, sf_dir):
+    f = {"tokens": "p_size", "is_script": "p_size % 3 > 0", "value_bytes": "p_retailprice", "ada": "1000000D + p_partkey * 500", "all_known_old": "p_size % 7 = 0", "allowlisted": "false"}
+    return _scored(spark, sf_dir, f, scorers.token_dust)
+
+
+@query(
+    f"""WITH f AS (SELECT p_partkey, p_size % 2 AS shared, CASE p_size % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END AS o, p_retailprice AS delta, p_size % 8 AS wins, p_partkey * 3.0 AS fee, p_size * 3.0 AS ttl, p_size % 5 = 0 AS change FROM part),
+s AS (SELECT *, round_even(100 * least(greatest(0.35 * o + 0.30 * {_n('(1 / greatest(delta, 1))', 0.0005, 0.005)} + 0.25 * {_n('wins', 0, 5)} + 0.10 * ((1 - {_n('fee', 500, 5000)} + 1 - {_n('ttl', 10, 100)} + change::INT) / 3), 0), 1), 2) AS raw FROM f)
+SELECT p_partkey, CASE WHEN shared >= 1 THEN CASE WHEN wins < 3 AND raw >= 80 THEN 79 ELSE raw END ELSE -1 END AS score FROM s"""
+)
+def scorer_front_running(spark, sf_dir):
+    f = {
+        "shared": "p_size % 2", "outcome": "element_at(array('TX_B_CONFIRMED', 'BOTH_PENDING', 'TX_A_CONFIRMED'), p_size % 3 + 1)", "delta_ms": "p_retailprice",
+        "wins": "p_size % 8", "fee_gap": "p_partkey * 3D", "ttl_gap": "p_size * 3D", "change_link": "p_size % 5 = 0",
+    }
+    return _scored(spark, sf_dir, f, scorers.front_running)
+
+
+@query(
+    f"""WITH f AS (SELECT p_partkey, 1 + p_size % 7 AS len, p_retailprice / 10000 AS loss, 0.6 + p_size / 120.0 AS sim, p_size % 9 AS rec, p_size / 50.0 AS ent, p_size % 2 = 0 AS flag, p_partkey % 100 / 100.0 AS tmp, 1.0 + p_size % 30 AS hop FROM part),
+p AS (SELECT *, {_n('sim', 0.7, 0.97)} AS a, {_n('rec', 0, 5)} AS r, {_n('(1 - ent)', 0.2, 0.7)} AS e, (flag::INT + {_n('tmp', 0.3, 0.85)}) / 2 AS x, {_n('(1 / hop)', 0.05, 0.5)} AS v FROM f),
+s AS (SELECT *, e + x + v < 0.1 AS bare, round_even(100 * least(greatest(0.3 * a + 0.3 * r + 0.2 * e + 0.1 * x + 0.1 * v, 0), 1), 2) AS raw FROM p)
+SELECT p_partkey, CASE WHEN len BETWEEN 3 AND 6 AND loss <= len * 0.02 * 4 AND (NOT bare OR (a > 0.5 AND r > 0.5)) THEN CASE WHEN bare OR loss > 2 * 0.05 THEN least(raw, 59) ELSE raw END ELSE -1 END AS score FROM s"""
+)
+def scorer_circular(spark, sf_dir):
+    f = {
+        "length": "1 + p_size % 7", "net_loss": "p_retailprice / 10000", "similarity": "0.6D + p_size / 120D", "recurrence": "p_size % 9", "entropy": "p_size / 50D", "round_amount": "p_size % 2 = 0",
+        "temporal": "p_partkey % 100 / 100D", "hop_slots": "1D + p_size % 30", "fee_ratio": "0.05D",
+    }
+    return _scored(spark, sf_dir, f, scorers.circular)
+
+
+@query(
+    f"""WITH f AS (SELECT p_partkey, p_size % 9 AS span, p_size % 2 = 0 AS linked, p_size / 200.0 AS rate, p_retailprice / 40000 AS impact, p_partkey * 4000.0 AS profit, p_size % 7 AS n FROM part)
+SELECT p_partkey, CASE WHEN span <= 5 AND profit >= 200000 THEN round_even(100 * least(greatest(0.30 * linked::INT + 0.30 * {_n('rate', 0, 0.15)} + 0.20 * {_n('impact', 0, 0.05)} + 0.10 * {_n('profit', 0, 5e6)} + 0.10 * {_n('n', 0, 5)}, 0), 1), 2) ELSE -1 END AS score FROM f"""
+)
+def scorer_sandwich(spark, sf_dir):
+    f = {"slot_span": "p_size % 9", "linked": "p_size % 2 = 0", "rate_delta": "p_size / 200D", "price_impact": "p_retailprice / 40000", "profit": "p_partkey * 4000D", "count": "p_size % 7"}
+    return _scored(spark, sf_dir, f, scorers.sandwich)
+
+
+_URL_HOST = "lower(regexp_extract(url, '^https?://([^/:?#]+)', 1))"
+
+
+@query(f"SELECT page_id, {_URL_HOST} AS host, regexp_extract({_URL_HOST}, '([^.]+[.][^.]+)$', 1) AS domain, url LIKE '%#%' AS fragment FROM pages")
+def url_extract(spark, sf_dir):
+    first = F.get(T.urls(F.col("url")), F.lit(0))
+    return t(spark, sf_dir, "pages").select("page_id", T.host(first).alias("host"), T.registrable(T.host(first)).alias("domain"), F.col("url").contains("#").alias("fragment"))
+
+
 # --- payloads and clusters, which SQL can't express -------------------------------------------------------------------
 
 
