@@ -170,7 +170,7 @@ def classes(docs: DataFrame, similar: int = SIMILAR, matches: int = MATCHES) ->
     texts = materialise(rows.join(ids, "doc_id").withColumn("s", cut("text")).filter("s.key = key").select("id", "text", F.col("s.h").alias("h")), "texts")
     # shingles of one candidate only can't be common to a pair
     alone = texts.select("id", F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("u"))
-    texts = texts.select("id", "text")
+    sets, texts = texts.select("id", "h"), texts.select("id", "text")
     able = candidates.join(alone, "id", "left").withColumn("u", F.coalesce("u", F.lit(0))).filter(100 * (F.col("n") - F.col("u")) >= similar * F.col("n"))
     posts = able.select("id", "n", "u", "score", "every", "prefix", F.explode("prefix").alias("t"))
     many = able.select(F.explode("prefix").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("t")
@@ -197,19 +197,19 @@ def classes(docs: DataFrame, similar: int = SIMILAR, matches: int = MATCHES) ->
         if links.count() * PAYS < pairs.count() or not pairs.limit(1).count():
             break
     # whatever is left: the classes outside a list's main component against the others of the list; a pair belongs to the
-    # least of the postings that it shares
+    # least of the postings that it shares. Whole sets are compared in the join, so that only links leave it.
     now = posts.join(comp, "id")
     home = now.groupBy("t").agg(F.max(rank).alias("top"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("t", F.col("top.comp").alias("home"))
-    now = materialise(now.join(home, "t"), "rest")
+    now = materialise(now.join(home, "t").join(sets, "id"), "rest")
     left, right = side(now.filter("comp <> home"), "p"), side(now, "q")
     met = left.join(right, "t").filter(
         (F.col("p_comp") != F.col("q_comp"))
         & ((F.col("q_comp") == F.col("q_home")) | (F.col("p_id") < F.col("q_id")))
         & _possible("p", "q", similar, matches)
         & (F.array_min(F.array_intersect("p_prefix", "q_prefix")) == F.col("t"))
+        & ((100 + similar) * F.size(F.array_intersect("p_h", "q_h")) >= similar * (F.size("p_h") + F.size("q_h")))
     )
-    pairs = materialise(met.select(F.col("p_id").alias("a"), F.col("q_id").alias("b")), "pairs")
-    comp = _merge(comp, materialise(_verified(pairs, texts, similar), "links"))
+    comp = _merge(comp, materialise(met.select(F.col("p_id").alias("a"), F.col("q_id").alias("b")), "links"))
     reps = candidates.select("id", "key", "rep").join(comp, "id")
     least = reps.groupBy("comp").agg(F.min("rep").alias("component"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     joined = reps.join(least, "comp").select("key", "component")
