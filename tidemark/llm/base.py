@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word cache is emptied beyond this many entries, so a worker's memory stays bounded.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 
 def shared_root(spark: SparkSession) -> str:

@@ -34,8 +34,9 @@ _MULTIPLIERS = odd_numbers(SPAN, 9)
 _TO_WORDS = bytes(
     c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256)
 )
-#: n_words, the hit spans as pairs of 32-bit word positions, and the ids met.
-STATE = "struct<n_words:bigint,spans:binary,items:array<string>>"
+#: n_words, the hit spans as pairs of 32-bit word positions, their words, the ids met and their digest.
+STATE = "struct<n_words:bigint,spans:binary,n_hit:bigint,items:array<string>,items_sha256:string>"
+_STATE = pa.struct([("n_words", pa.int64()), ("spans", pa.binary()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("items_sha256", pa.string())])
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -180,27 +181,17 @@ def _pass(block_of):
                     spans, items = found.get(i, ([], ()))
                     if spans and was["spans"]:
                         spans = spans + np.frombuffer(was["spans"], np.uint32).reshape(-1, 2).tolist()
-                    out.append(
-                        {
-                            "n_words": counts[i],
-                            "spans": _joined(np.array(spans, np.int64)).tobytes() if spans else was["spans"],
-                            "items": sorted({*was["items"], *(block.ids[k] for k in items)}),
-                        }
-                    )
+                    packed = _joined(np.array(spans, np.int64)) if spans else np.frombuffer(was["spans"], np.uint32).reshape(-1, 2)
+                    ids = sorted({*was["items"], *(block.ids[k] for k in items)})
+                    n_hit = int((packed[:, 1].astype(np.int64) - packed[:, 0]).sum())
+                    digest = hashlib.sha256(",".join(ids).encode()).hexdigest()
+                    out.append({"n_words": counts[i], "spans": packed.tobytes(), "n_hit": n_hit, "items": ids, "items_sha256": digest})
                 first = last
-            yield pa.array(out, pa.struct([("n_words", pa.int64()), ("spans", pa.binary()), ("items", pa.list_(pa.string()))]))
+            yield pa.array(out, _STATE)
 
     return meet.asNondeterministic()
 
 
-def _digest(spans: pa.Array, items: pa.Array) -> pa.Array:
-    out = []
-    for s, i in zip(spans.to_pylist(), items.to_pylist()):
-        x = np.frombuffer(s or b"", np.uint32).reshape(-1, 2).astype(np.int64)
-        out.append({"n_hit": int((x[:, 1] - x[:, 0]).sum()), "items_sha256": hashlib.sha256(",".join(i or []).encode()).hexdigest()})
-    return pa.array(out, pa.struct([("n_hit", pa.int64()), ("items_sha256", pa.string())]))
-
-
 def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, bytes]]]:
     """The items in lists of at most ``block_bytes`` of text (one item at least), read a partition at a time."""
     rows, size = [], 0
@@ -234,21 +225,8 @@ def annotate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYT
         out = out.withColumn(state, _pass(last)(utf8(F.col("text")), F.col(state)))
     if last is None:
         out = out.withColumn(state, _pass(spark.sparkContext.broadcast(Block([])))(utf8(F.col("text")), F.col(state)))
-    more = free_name(out, "_digest")
-    digest = F.arrow_udf(_digest, "struct<n_hit:bigint,items_sha256:string>")
-    out = out.withColumn(more, digest(F.col(f"{state}.spans"), F.col(f"{state}.items")))
-    n_hit, n_words = F.col(f"{more}.n_hit"), F.col(f"{state}.n_words")
-    return out.withColumn(
-        state,
-        F.struct(
-            n_words.alias("n_words"),
-            n_hit.alias("n_hit"),
-            F.col(f"{state}.items").alias("items"),
-            F.col(f"{state}.spans").alias("spans"),
-            F.col(f"{more}.items_sha256").alias("items_sha256"),
-            ((n_hit > 0) & (n_hit * SHARE >= n_words)).alias("contaminated"),
-        ),
-    ).drop(more), state
+    n_hit, n_words = F.col(f"{state}.n_hit"), F.col(f"{state}.n_words")
+    return out.withColumn(state, F.col(state).withField("contaminated", (n_hit > 0) & (n_hit * SHARE >= n_words))), state
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

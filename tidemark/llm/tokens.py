@@ -15,7 +15,7 @@ import re
 import numpy as np
 
 #: Pieces remembered; beyond them the memory starts anew.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 250_000
 
 _SPACE = "\t-\r \x85\xa0  -     　"
 _PIECE = re.compile(
