@@ -70,7 +70,8 @@ def cycles(edges: DataFrame, start: str = "src", end: str = "dst", at: str = "sl
     front = cut(front.join(front.groupBy("origin").agg(F.min("slot").alias("first")), "origin"))
     seen, found = front.select("origin", F.col("at").alias("addr")), None
     for hop in range(1, hops + 1):
-        step = front.join(e, F.col("at") == F.col("u")).filter((F.col("s") >= F.col("slot")) & (F.col("s") <= F.col("first") + reach))
+        # no edge goes on from a place met after the reach
+        step = front.filter(F.col("slot") <= F.col("first") + reach).join(e, F.col("at") == F.col("u")).filter((F.col("s") >= F.col("slot")) & (F.col("s") <= F.col("first") + reach))
         if rows_a_hop is not None:
             step = step.withColumn("_n", F.row_number().over(W.partitionBy("origin").orderBy("s", "u", "v"))).filter(F.col("_n") <= rows_a_hop).drop("_n")
         step = cut(step.select("origin", "v", "s", "first"))
