@@ -58,3 +58,12 @@ def test_cycle_hops_over_all_edges(spark, tmp_path):
     got = {x.origin: (x.cycle_length, x.slot) for x in QUERIES["cycle_hops"](spark, sf).collect()}
     assert got == first_returns([(u, v, day + s) for u, v, s in edges], 6, 200)
     assert got[0] == (7, day + 7) and 10 not in got and 20 not in got and len({n for n, _ in got.values()}) > 3
+
+
+def test_contract_outliers_of_every_customer(spark, tmp_path):
+    r = random.Random(3)
+    rows = [(k, "A" if k % 400 else "B", r.gauss(0, 100), r.randrange(25)) for k in range(1, 1201)]
+    rows[0] = (1, "A", 1e6, 500)  # the oldest one stands out
+    got = {x.c_custkey: x for x in QUERIES["contract_outliers"](spark, tables(spark, tmp_path, customer=("c_custkey long, c_mktsegment string, c_acctbal double, c_nationkey int", rows))).collect()}
+    assert set(got) == {k for k, *_ in rows}
+    assert got[1].score_rank == 1 and got[1].votes == 3 and max(x.score_rank for x in got.values()) == 1197

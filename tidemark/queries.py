@@ -774,4 +774,4 @@ def output_features(spark, sf_dir):
 def contract_outliers(spark, sf_dir):
     """Clusters and outliers of each segment's most recent customers."""
     rows = t(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("nation"))
-    return cluster.outliers(cluster.recent(rows, "c_mktsegment", [F.desc("c_custkey")], 300), "c_mktsegment", "c_custkey", ["c_acctbal", "nation"], eps=0.3)
+    return cluster.outliers(cluster.recent(rows, "c_mktsegment", [F.desc("c_custkey")]), "c_mktsegment", "c_custkey", ["c_acctbal", "nation"], eps=0.3)
