@@ -22,7 +22,8 @@ HEX = r"[0-9a-f]{32,}"
 VALUE = 8
 KINDS = ("assign", "access", "hex", "entropy")
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}"
+# a value may follow ``=``, so that sign does not stop one from beginning
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}"
 WINDOW = 20
 #: Character classes, the narrowest first, with the entropy in bits a character from which a window is random.
 CLASSES = ((r"^[0-9a-fA-F]+$", 2.9), (r"^[A-Z0-9]+$", 3.5), (r"^[a-z0-9]+$", 3.5), (r"^[A-Za-z0-9]+$", 3.7), (r"", 3.8))
