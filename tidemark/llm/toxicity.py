@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,13 @@ FEATURES = (
 _WORD = re.compile(rb"[^\x00-\x26\x28-\x2f\x3a-\x3f\x5b-\x60\x7b-\x7f]+")
 _LETTERS = bytes(range(0x61, 0x7B))
 _HIDE = bytes.maketrans(b"013457@$!", b"oieastasi")
-_HIDDEN = re.compile(rb"(?=[a-z0-9@$*]*[a-z])(?=[a-z0-9@$*]*[@$*0-9])[a-z][a-z0-9@$*]+[a-z]")
+_SIGNED = re.compile(rb"[a-z0-9@$*!\x80-\xff]+")
+_SIGN = re.compile(rb"[0-9@$*!]")
+_LETTER = re.compile(rb"[a-z]")
+_HIDDEN = re.compile(rb"[a-z][a-z0-9@$*!]+[a-z]")
+_ANY = rb"(?:[a-z]|[\xc3-\xf4][\x80-\xbf]+)"
+#: Longer runs of letters and signs are not looked up.
+LONGEST = 40
 _STRETCHED = re.compile(rb"([a-z])\1\1")
 
 
@@ -50,9 +57,26 @@ class Lexicon:
     insults: frozenset[bytes] = field(default_factory=lambda: frozenset(w.encode() for w in INSULTS.split()))
     second: frozenset[bytes] = field(default_factory=lambda: frozenset(w.encode() for w in SECOND_PERSON.split()))
 
+    def conceals(self, w: bytes) -> bool:
+        """Whether signs and digits of ``w`` stand for letters of an insult or a word of the lexicon; a star is any one
+        letter, or put in. Not where what is between the signs is such a word anyway."""
+        if len(w) > LONGEST or not _LETTER.search(w) or any(x in self.insults or x in self.words for x in _WORD.findall(w)):
+            return False
+        w = w.rstrip(b"!").translate(_HIDE)
+        plain = w.replace(b"*", b"")
+        if plain in self.insults or plain in self.words:
+            return True
+        if b"*" not in w or len(plain) < max(2, len(w) - len(plain)):
+            return False
+        return re.search(b"(?m)^" + _ANY.join(re.escape(x) for x in w.split(b"*")) + b"$", self.listed) is not None
+
+    @cached_property
+    def listed(self) -> bytes:
+        return b"\n".join(sorted(self.insults | self.words))
+
 
 def words_of(text: bytes) -> list[bytes]:
-    """Lower-cased words; signs that stand in for letters stay inside them."""
+    """Lower-cased words. Signs that stand in for letters are looked at apart, so that 'idiot!you' stays two words."""
     return _WORD.findall(text.lower())
 
 
@@ -81,11 +105,13 @@ def features(text: bytes, lexicon: Lexicon) -> np.ndarray:
             hit = True
         if hit:
             hits.append(k)
-    odd = [w for w in words if not w.isalpha() and _HIDDEN.fullmatch(w)]
-    for w in odd:
-        plain = w.translate(_HIDE).replace(b"*", b"")
-        if plain in ins or plain in lex:
-            insult += 1
+    odd = 0
+    for w in _SIGNED.findall(text.lower()):
+        if _SIGN.search(w):
+            concealed = lexicon.conceals(w)
+            insult += concealed
+            bare = w.strip(b"*!")
+            odd += concealed or bool(_SIGN.search(bare) and _HIDDEN.fullmatch(bare))
     near = 0
     if you and hits:
         at, own = np.array(you), np.array(hits)
@@ -102,7 +128,7 @@ def features(text: bytes, lexicon: Lexicon) -> np.ndarray:
     out[:] = (
         np.log1p(n), insult, insult / n, lexical, lexical / n, stem, stem / n, near, len(you) / n,
         sum(w.isupper() and len(w) > 1 for w in raw) / n, upper / max(1, letters), text.count(b"!") / n, text.count(b"?") / n, marks / n,
-        sum(w.isdigit() for w in words) / n, len(odd) / n, sum(1 for w in words if _STRETCHED.search(w)) / n, best,
+        sum(w.isdigit() for w in words) / n, odd / n, sum(1 for w in words if _STRETCHED.search(w)) / n, best,
     )
     return out
 
