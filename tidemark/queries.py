@@ -577,13 +577,13 @@ d AS (SELECT vec_id, c.label, sqrt(sum((v.v::DOUBLE - c.m) ** 2)) AS dist FROM v
 SELECT vec_id, label AS cluster, round(dist, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, label) = 1"""
 )
 def nearest_centroid(spark, sf_dir):
-    """A frozen model of means, a row for each cluster, broadcast; rows go to the nearest."""
+    """A model of means of all rows, broadcast; every row goes to the nearest. The SQL fits on even ids and places odd ones."""
     e = t(spark, sf_dir, "embeddings")
-    means = e.filter("vec_id % 2 = 0").select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    means = e.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
     model = means.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("mean")).agg(F.collect_list(F.struct("label", "mean")).alias("model"))
     gap = lambda c: F.sqrt(F.aggregate(F.zip_with("embedding", c["mean"], lambda a, b: F.pow(a.cast("double") - b, F.lit(2))), F.lit(0.0), lambda s, x: s + x))
     best = F.array_min(F.transform("model", lambda c: F.struct(gap(c).alias("d"), c["label"].alias("label"))))
-    return e.filter("vec_id % 2 = 1").crossJoin(F.broadcast(model)).select("vec_id", best.alias("b")).select("vec_id", F.col("b.label").alias("cluster"), F.round("b.d", 6).alias("distance"))
+    return e.crossJoin(F.broadcast(model)).select("vec_id", best.alias("b")).select("vec_id", F.col("b.label").alias("cluster"), F.round("b.d", 6).alias("distance"))
 
 
 @query(
