@@ -19,13 +19,92 @@ def used(plan, capacity):
     return c
 
 
+def count(plan):
+    return sum(n for _, n in plan)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 40), max_size=300))
 def test_plans_use_every_piece_once(lengths):
     h = np.bincount(np.array(lengths, int), minlength=41)
     for plan in (P.make_plan(h, 40), P.best_fit(h, 40)):
         assert used(plan, 40) == Counter(lengths)
-        assert sum(n for _, n in plan) <= 1.25 * -(-sum(lengths) // 40) + 1
+        # no two sequences of best fit go into one, and patterns are full
+        assert 40 * (count(plan) - 1) <= 2 * sum(lengths)
+
+
+def least(lengths, capacity):
+    """The fewest sequences, by trying all."""
+    best = len(lengths)
+
+    def put(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(lengths):
+            best = len(rooms)
+            return
+        for j in {r: j for j, r in enumerate(rooms) if r >= lengths[k]}.values():
+            put(k + 1, rooms[:j] + [rooms[j] - lengths[k]] + rooms[j + 1 :])
+        put(k + 1, rooms + [capacity - lengths[k]])
+
+    put(0, [])
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 24), min_size=1, max_size=7))
+def test_few_pieces_against_the_optimum(lengths):
+    lengths.sort(reverse=True)
+    h = np.bincount(np.array(lengths), minlength=25)
+    plan, left = P.fitted(h, 24)
+    want = least(lengths, 24)
+    rest = sorted(np.repeat(np.arange(25), left).tolist(), reverse=True)
+    assert want <= count(P.make_plan(h, 24)) <= count(plan) + 11 / 9 * least(rest, 24) + 6 / 9
+    assert count(P.best_fit(h, 24)) <= 11 / 9 * want + 6 / 9
+    assert all(sum(p) == 24 for p, _ in plan) and (left >= 0).all()
+
+
+def test_patterns_are_all_that_fill_a_sequence():
+    h = np.array([0, 3, 0, 2, 1, 1, 0, 1, 0, 1])
+    held, times = P.patterns(h, 9)
+    got = {tuple(sorted(Counter({int(a): int(n) for a, n in zip(x, y) if n}).items())) for x, y in zip(held, times)}
+    want = set()
+    for a in range(4):
+        for b in range(3):
+            for c in range(2):
+                for d in range(2):
+                    for e in range(2):
+                        for f in range(2):
+                            p = {1: a, 3: b, 4: c, 5: d, 7: e, 9: f}
+                            p = {k: n for k, n in p.items() if n}
+                            if sum(k * n for k, n in p.items()) == 9 and (len(p) < 3 or (len(p) == 3 and max(p.values()) == 1)):
+                                want.add(tuple(sorted(p.items())))
+    assert got == want
+
+
+def test_fit_meets_a_histogram_that_patterns_made():
+    r = np.random.default_rng(1)
+    h = np.zeros(513, np.int64)
+    for _ in range(400):
+        a, b = sorted(r.integers(1, 512, 2).tolist())
+        for x in (a, b - a, 512 - b):
+            h[x] += x > 0
+    held, times = P.patterns(h, 512)
+    x = P.fit(held, times, h)
+    made = np.zeros(513)
+    np.add.at(made, held.ravel(), (times * x[:, None]).ravel())
+    assert (x >= 0).all() and ((made - h)[1:] ** 2).sum() <= 0.01 * (h**2).sum()
+
+
+def test_patterns_place_most_sequences(spark):
+    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    h = np.bincount([r.length for r in P.pack(texts).select("length").collect()], minlength=2049)
+    for histogram in (h, 20 * h):
+        plan, left = P.fitted(histogram, 2048)
+        rest = P.best_fit(left, 2048)
+        assert count(plan) >= 0.85 * (count(plan) + count(rest))
+        assert count(plan) + count(rest) <= count(P.best_fit(histogram, 2048)) + 1
 
 
 def test_near_the_bound_for_many_pieces():

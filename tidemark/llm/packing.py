@@ -1,10 +1,9 @@
-"""Best-fit packing by patterns of few documents.
+"""Packing by patterns of few lengths.
 
-Only the histogram of piece lengths reaches the driver (at most ``capacity`` numbers). Patterns of few pieces that fill a
-sequence exactly are enumerated over the lengths that occur: pairs, triples, and a length repeated with one or two
-others beside it. Non-negative least squares fits how often each pattern is used to the histogram; the counts are rounded
-and cut to what is there, and the pieces left over are packed best fit, longest first, still by length. If best fit alone
-needs fewer sequences, its plan is taken.
+Only the histogram of piece lengths reaches the driver (at most ``capacity`` numbers). All patterns of two kinds that fill
+a sequence exactly are enumerated over the lengths that occur: copies of one or of two lengths, and three different
+lengths once each. Non-negative least squares fits how often each pattern is used to the histogram; the counts are
+rounded and cut to what is there, and the pieces left over are packed best fit, longest first, still by length.
 
 Pieces of one length are alike to a plan, so a piece needs just its rank among those of its length: its rank in its own
 task plus the pieces of earlier tasks. Ranks are turned to places by a search in the plan's table.
@@ -25,9 +24,8 @@ from tidemark.llm.base import materialise
 from tidemark.llm.tokens import encoder, tokenizer_path
 
 CAPACITY = 2048
-#: Patterns enumerated at most; beyond them triples of the less frequent lengths are left to the residual packing.
-PATTERNS = 150_000
-ROUNDS = 120
+#: Rounds of the fit at most, patterns looked at in a round, and the step in counts below which the fit is done.
+ROUNDS, LOOKED_AT, STILL = 300, 4096, 0.05
 
 Plan = list[tuple[tuple[int, ...], int]]
 
@@ -68,86 +66,86 @@ def best_fit(histogram: np.ndarray, capacity: int) -> Plan:
     return [(p, n) for groups in open_by_room.values() for p, n in groups.items()]
 
 
-def patterns(histogram: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
-    """Sets of few lengths that occur and sum to the capacity."""
-    there = histogram > 0
-    lengths = np.flatnonzero(there)
+def patterns(histogram: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every pattern that the histogram has pieces for: up to three lengths a row, 0 where there are fewer, and how often
+    the pattern holds each. There are at most about capacity squared / 10 of them."""
+    lengths = np.flatnonzero(histogram[: capacity + 1])
     lengths = lengths[lengths > 0]
-    found: dict[tuple[int, ...], None] = {}
-    if there[capacity]:
-        found[(capacity,)] = None
-    for a in lengths.tolist():
-        for m in range(1, capacity // a + 1):
-            rest = capacity - m * a
-            if rest == 0 and m > 1:
-                found[(a,) * m] = None
-            elif rest > 0 and rest < len(there) and there[rest] and rest != a:
-                found[tuple(sorted((a,) * m + (rest,), reverse=True))] = None
-    # longest with frequent partners first, then the rest
-    by_count = lengths[np.argsort(-histogram[lengths], kind="stable")]
-    for b in by_count.tolist():
-        if len(found) >= PATTERNS:
-            break
-        for m in (1, 2, 3, 4):
-            rest = capacity - m * b
-            if rest < 2:
-                break
-            c = lengths[lengths <= rest // 2]
-            a = rest - c
-            for x, y in zip(a[there[a]].tolist(), c[there[a]].tolist()):
-                found[tuple(sorted((b,) * m + (x, y), reverse=True))] = None
-    return list(found)[:PATTERNS]
-
-
-def fit(patterns: list[tuple[int, ...]], histogram: np.ndarray) -> np.ndarray:
-    """How often to use each pattern: non-negative least squares by projected gradient steps with momentum.
-
-    Lengths weigh alike in relation to how often they occur, so that rare lengths are not ignored.
+    there = np.zeros(capacity + 1, bool)
+    there[lengths] = True
+    most = np.minimum(histogram[lengths], capacity // np.maximum(lengths, 1)).astype(np.int64)
+    length, first = np.repeat(lengths, most), np.cumsum(most) - most
+    copies = np.arange(most.sum()) - np.repeat(first, most) + 1
+    order = np.argsort(length * copies, kind="stable")
+    length, copies = length[order], copies[order]
+    filled = length * copies
+    whole, none = filled == capacity, np.zeros(int((filled == capacity).sum()), np.int64)
+    held, times = [np.stack([length[whole], none, none], 1)], [np.stack([copies[whole], none, none], 1)]
+    low, high = (np.searchsorted(filled, capacity - filled, side) for side in ("left", "right"))
+    i = np.repeat(np.arange(len(filled)), high - low)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)
+    i, j = i[length[i] > length[j]], j[length[i] > length[j]]
+    none = np.zeros(len(i), np.int64)
+    held.append(np.stack([length[i], length[j], none], 1))
+    times.append(np.stack([copies[i], copies[j], none], 1))
+    for x in lengths.tolist():  # three lengths, x > y > z
+        y = lengths[(lengths < x) & (2 * lengths > capacity - x) & (lengths < capacity - x)]
+        y = y[there[capacity - x - y]]
+        held.append(np.stack([np.full(len(y), x), y, capacity - x - y], 1))
+        times.append(np.ones((len(y), 3), np.int64))
+    return np.concatenate(held), np.concatenate(times)
+
+
+def fit(held: np.ndarray, times: np.ndarray, histogram: np.ndarray) -> np.ndarray:
+    """How often to use each pattern: non-negative least squares by coordinate steps from zero.
+
+    A round takes the patterns whose own best step lowers the squares most, none with a length in common, so that their
+    steps are exact together. Starting from zero keeps the counts few and large, which rounding needs.
     """
-    if not patterns:
-        return np.zeros(0)
-    sizes = np.array([len(p) for p in patterns])
-    col = np.repeat(np.arange(len(patterns)), sizes)
-    row = np.fromiter((x for p in patterns for x in p), np.int64, sizes.sum())
-    h = histogram.astype(float)
-    weight = 1 / np.sqrt(np.maximum(h, 1))
-    target = h * weight
-    forward = lambda x: np.bincount(row, x[col], len(h)) * weight
-    backward = lambda r: np.bincount(col, (r * weight)[row], len(patterns))
-    v = np.ones(len(patterns))
-    for _ in range(8):
-        v = backward(forward(v))
-        bound = np.linalg.norm(v)
-        v /= bound or 1
-    x = y = np.zeros(len(patterns))
-    t = 1.0
-    for _ in range(ROUNDS):
-        new = np.maximum(0, y - backward(forward(y) - target) / (1.05 * bound))
-        t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        y = new + (t - 1) / t2 * (new - x)
-        x, t = new, t2
+    x, left = np.zeros(len(held)), histogram.astype(float)
+    curve = (times * times).sum(1).astype(float)
+    left[0] = 0
+    for _ in range(ROUNDS if len(held) else 0):
+        slope = (times * left[held]).sum(1)
+        step = np.maximum(slope / curve, -x)
+        gain = step * (2 * slope - step * curve)
+        top = np.argpartition(-gain, min(LOOKED_AT, len(gain)) - 1)[:LOOKED_AT]
+        top = top[np.lexsort((top, -gain[top]))]
+        taken, picked = np.zeros(len(left), bool), []
+        for k, (a, b, c) in zip(top[gain[top] > 0].tolist(), held[top].tolist()):
+            if not (taken[a] or taken[b] or taken[c]):
+                taken[[a, b, c]] = True
+                taken[0] = False
+                picked.append(k)
+        if not picked or np.abs(step[picked]).max() < STILL:
+            break
+        x[picked] += step[picked]
+        np.subtract.at(left, held[picked].ravel(), (times[picked] * step[picked, None]).ravel())
+        left[0] = 0
     return x
 
 
-def make_plan(histogram: np.ndarray, capacity: int = CAPACITY) -> Plan:
-    """Patterns with counts that use up the histogram exactly (index: length)."""
-    histogram = np.asarray(histogram, np.int64)
-    alone = best_fit(histogram, capacity)
-    candidates = patterns(histogram, capacity)
-    counts = fit(candidates, histogram)
-    left = histogram.copy()
+def fitted(histogram: np.ndarray, capacity: int) -> tuple[Plan, np.ndarray]:
+    """The rounded patterns with their counts, and the pieces by length that they leave."""
+    left = np.array(histogram, np.int64)
+    held, times = patterns(left, capacity)
+    counts = fit(held, times, left)
     plan: Plan = []
     for k in np.argsort(-counts, kind="stable").tolist():
         if counts[k] < 0.5:
             break
-        lengths, times = np.unique(candidates[k], return_counts=True)
-        n = min(int(np.rint(counts[k])), int((left[lengths] // times).min()))
+        own, often = held[k][times[k] > 0], times[k][times[k] > 0]
+        n = min(int(np.rint(counts[k])), int((left[own] // often).min()))
         if n > 0:
-            left[lengths] -= n * times
-            plan.append((candidates[k], n))
-    plan += best_fit(left, capacity)
-    size = lambda p: sum(n for _, n in p)
-    return plan if size(plan) <= size(alone) else alone
+            left[own] -= n * often
+            plan.append((tuple(np.repeat(own, often).tolist()), n))
+    return plan, left
+
+
+def make_plan(histogram: np.ndarray, capacity: int = CAPACITY) -> Plan:
+    """Patterns with counts that use up the histogram exactly (index: length)."""
+    plan, left = fitted(histogram, capacity)
+    return plan + best_fit(left, capacity)
 
 
 class Places:
