@@ -62,3 +62,18 @@ def test_clashing_columns_and_empty_tables(spark):
     assert kept.columns == d.columns and [r.doc_id for r in kept.collect()] == [2]
     assert D.report(d.limit(0), b).count() == 0
     assert D.report(d, b.limit(0)).filter("contaminated or n_hit > 0").count() == 0
+
+
+def test_equal_words_take_time_in_proportion():
+    import time
+
+    import numpy as np
+
+    n = 20_000
+    block = D.Block([("one", b"a " * n), ("two", b"b " + b"a " * n), ("short", b"a")])
+    cache = D.WordHash()
+    words = cache.of(D.words_of(b"a " * n))
+    began = time.time()
+    found = D.find(words, np.array([0, n]), block)
+    assert time.time() - began < 1
+    assert found == {0: ([(0, n)], {0, 1, 2})}

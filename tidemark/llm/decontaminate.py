@@ -2,9 +2,11 @@
 
 Training and test texts are cut into words, each run of ``K`` words is hashed, and in every window of ``WINDOW``
 consecutive run hashes the smallest is kept as a fingerprint. Two texts that share ``SPAN = K + WINDOW - 1`` words keep
-the same fingerprint inside the shared words, so a join on fingerprints meets every shared span of that length; each
-meeting is then extended word by word to its full length. Spans of ``SPAN`` words or more are hits. Items of fewer words
-than that are one window as a whole, met through the hash of all their words.
+the same fingerprint inside the shared words, so a join on fingerprints meets every shared span of that length. Each
+meeting is extended to the spans of ``SPAN`` words around it that the benchmark holds; overlapping ones grow to the whole
+shared passage. Items of fewer words are one window as a whole, met through the hash of all their words. Equal windows
+of the benchmark are held once with the items that have them, so that the work is in proportion to the words of a
+text, however often words repeat.
 
 The fingerprints of the benchmark are broadcast in blocks of at most ``BLOCK_BYTES`` of item text; a larger benchmark
 takes several passes over the documents, with the state of a row carried from pass to pass in a written table.
@@ -30,7 +32,7 @@ BLOCK_BYTES = 16_000_000
 #: A document is contaminated if SHARE times its hit words reach its words.
 SHARE = 20
 
-_MULTIPLIERS = odd_numbers(SPAN, 9)
+_MULTIPLIERS = odd_numbers(K, 9)
 _TO_WORDS = bytes(
     c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256)
 )
@@ -65,40 +67,57 @@ def fingerprints(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
+class Windows:
+    """The distinct runs of ``n`` words of some items, by hash, with the items that hold each."""
+
+    def __init__(self, n: int, items: list[tuple[int, np.ndarray]]):
+        self.n, self.words = n, np.concatenate([w for _, w in items])
+        sizes = np.array([len(w) - n + 1 for _, w in items])
+        begins = np.cumsum([0, *(len(w) for _, w in items[:-1])])
+        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begins, sizes)
+        for seed in range(9, 1000):
+            # other multipliers where two different runs would share a hash
+            self.multipliers = odd_numbers(SPAN, seed)
+            h = gram_hashes(self.words, n, self.multipliers)[at]
+            self.keys, first, which = np.unique(h, return_index=True, return_inverse=True)
+            self.at = at[first]
+            if all(np.array_equal(self.words[at + j], self.words[self.at[which] + j]) for j in range(n)):
+                break
+        pairs = np.unique(np.stack([which, np.repeat([k for k, _ in items], sizes)], 1), axis=0)
+        self.items = pairs[:, 1]
+        self.ends = np.searchsorted(pairs[:, 0], np.arange(len(self.keys) + 1))
+
+    def met(self, words: np.ndarray, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places of ``words`` (of ``places``, or all) where a run begins that is among these, and its number."""
+        h = gram_hashes(words, self.n, self.multipliers)
+        places = np.arange(len(h)) if places is None else places
+        which = np.minimum(np.searchsorted(self.keys, h[places]), len(self.keys) - 1)
+        ok = self.keys[which] == h[places]
+        places, which = places[ok], which[ok]
+        same = np.ones(len(places), bool)
+        for j in range(self.n):
+            same &= words[places + j] == self.words[self.at[which] + j]
+        return places[same], which[same]
+
+    def holders(self, which: np.ndarray) -> np.ndarray:
+        """The items of some runs."""
+        which = np.unique(which)
+        return np.unique(np.concatenate([self.items[self.ends[k] : self.ends[k + 1]] for k in which.tolist()]))
+
+
 class Block:
-    """Part of the benchmark: fingerprints of long items, whole hashes of short ones."""
+    """Part of the benchmark: the fingerprints and windows of long items, and the windows of short ones."""
 
     def __init__(self, items: list[tuple[str, bytes]]):
-        cache = WordHash()
-        self.ids, self.words = [], []
-        short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        keys, places = [], []
-        for item_id, text in items:
+        cache, by_size = WordHash(), defaultdict(list)
+        self.ids = [i for i, _ in items]
+        for k, (_, text) in enumerate(items):
             w = cache.of(words_of(text))
-            k = len(self.ids)
-            self.ids.append(item_id)
-            self.words.append(w)
-            if len(w) >= SPAN:
-                at, h = fingerprints(w)
-                keys.append(h)
-                places.append(np.stack([np.full(len(at), k), at], 1))
-            elif len(w):
-                short[len(w)][int(gram_hashes(w, len(w), _MULTIPLIERS)[0])].append(k)
-        keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.places = (np.concatenate(places) if places else np.zeros((0, 2), np.int64))[order]
-        self.unique = np.unique(self.keys)
-        self.short = {n: (np.array(sorted(x), np.uint64), dict(x)) for n, x in short.items()}
-
-
-def _among(h: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Indexes of the values of ``h`` that the sorted ``of`` holds."""
-    if not len(of):
-        return np.zeros(0, np.int64)
-    at = np.searchsorted(of, h)
-    at[at == len(of)] = 0
-    return np.flatnonzero(of[at] == h)
+            if len(w):
+                by_size[min(len(w), SPAN)].append((k, w))
+        self.windows = [Windows(n, own) for n, own in sorted(by_size.items())]
+        kept = [fingerprints(w)[1] for _, w in by_size.get(SPAN, [])]
+        self.fingerprints = np.unique(np.concatenate(kept)) if kept else np.zeros(0, np.uint64)
 
 
 def find(words: np.ndarray, starts: np.ndarray, block: Block) -> dict[int, tuple[list[tuple[int, int]], set[int]]]:
@@ -106,46 +125,41 @@ def find(words: np.ndarray, starts: np.ndarray, block: Block) -> dict[int, tuple
 
     Returns, for documents with hits, spans (within the document) and the numbers of the items met.
     """
-    found: dict[int, tuple[list[tuple[int, int]], set[int]]] = defaultdict(lambda: ([], set()))
-    at, h = fingerprints(words)
-    hits = _among(h, block.unique)
-    reached: dict[tuple[int, int], int] = {}
-    for p, key in zip(at[hits].tolist(), h[hits]):
-        d = int(np.searchsorted(starts, p, side="right")) - 1
-        low, high = int(starts[d]), int(starts[d + 1])
-        if p + K > high:
+    marks, met = np.zeros(len(words) + 1, np.int64), []
+    for w in block.windows:
+        if len(words) < w.n:
             continue
-        for k, q in block.places[np.searchsorted(block.keys, key) : np.searchsorted(block.keys, key, side="right")].tolist():
-            w = block.words[k]
-            if p < reached.get((k, p - q), -1):
-                continue
-            a = p - q + (left := max(0, q - (p - low)))
-            b = p - q + min(len(w), q + high - p)
-            same = words[a:b] == w[left : left + b - a]
-            here = p - a
-            off = np.flatnonzero(~same)
-            cut = int(np.searchsorted(off, here))
-            if cut < len(off) and off[cut] < here + K:
-                continue  # the run differs: two runs with one hash
-            begin = a + (int(off[cut - 1]) + 1 if cut else 0)
-            end = a + (int(off[cut]) if cut < len(off) else b - a)
-            reached[k, p - q] = end
-            if end - begin >= SPAN:
-                found[d][0].append((begin - low, end - low))
-                found[d][1].add(k)
-    for n, (keys, by) in block.short.items():
-        g = gram_hashes(words, n, _MULTIPLIERS)
-        for p in _among(g, keys).tolist():
-            d = int(np.searchsorted(starts, p, side="right")) - 1
-            if p + n > starts[d + 1]:
-                continue
-            for k in by[int(g[p])]:
-                if np.array_equal(block.words[k], words[p : p + n]):
-                    found[d][0].append((p - int(starts[d]), p + n - int(starts[d])))
-                    found[d][1].add(k)
+        near = None
+        if w.n == SPAN:
+            at, h = fingerprints(words)
+            known = np.minimum(np.searchsorted(block.fingerprints, h), len(block.fingerprints) - 1)
+            at = at[block.fingerprints[known] == h]
+            near = np.unique((at[:, None] - np.arange(WINDOW)).ravel())
+            near = near[(near >= 0) & (near <= len(words) - SPAN)]
+        places, which = w.met(words, near)
+        d = np.searchsorted(starts, places, side="right") - 1
+        inside = places + w.n <= starts[d + 1]
+        places, which, d = places[inside], which[inside], d[inside]
+        np.add.at(marks, places, 1)
+        np.add.at(marks, places + w.n, -1)
+        met += [(d[a:b], w, which[a:b]) for a, b in zip(*_runs(d))]
+    covered = np.cumsum(marks) > 0
+    found: dict[int, tuple[list[tuple[int, int]], set[int]]] = {}
+    for d, w, which in met:
+        k = int(d[0])
+        if k not in found:
+            own = np.diff(np.concatenate([[0], covered[starts[k] : starts[k + 1]].astype(np.int8), [0]]))
+            found[k] = (list(zip(np.flatnonzero(own == 1).tolist(), np.flatnonzero(own == -1).tolist())), set())
+        found[k][1].update(w.holders(which).tolist())
     return found
 
 
+def _runs(d: np.ndarray) -> tuple[list[int], list[int]]:
+    """Begins and ends of the runs of equal values."""
+    cuts = (np.flatnonzero(np.diff(d)) + 1).tolist()
+    return ([0, *cuts], [*cuts, len(d)]) if len(d) else ([], [])
+
+
 def _joined(spans: np.ndarray) -> np.ndarray:
     """Sorted spans without overlaps."""
     out: list[list[int]] = []
@@ -221,6 +235,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYT
     for items in blocks_of(benchmark, block_bytes):
         if last is not None:
             out = materialise(out, "decontaminate")
+            last.destroy()
         last = spark.sparkContext.broadcast(Block(items))
         out = out.withColumn(state, _pass(last)(utf8(F.col("text")), F.col(state)))
     if last is None:
