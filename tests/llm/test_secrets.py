@@ -69,3 +69,31 @@ def test_redaction(spark):
             at = max(at, b)
         assert r.text == ("".join(parts) + t[at:] if parts else t) and r.n_chars == (None if t is None else len(r.text))
     assert S.report(d.limit(0)).count() == 0
+
+
+def entropy_spans(text):
+    """Candidates by a plain scan, each window's entropy counted anew."""
+    out, base = [], {(int(a), int(b)) for _, a, b in (x.split(":") for x in brute(text)[4].split(",") if x)}
+    for m in re.finditer(S.CANDIDATE, text or "", re.A):
+        s = m[0]
+        classes = (("0123456789abcdefABCDEF", 2.9), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 3.5), ("abcdefghijklmnopqrstuvwxyz0123456789", 3.5))
+        least = next((e for c, e in classes if set(s) <= set(c)), 3.7 if s.isalnum() else 3.8)
+        top = max(-sum(c / 20 * math.log2(c / 20) for c in Counter(s[i : i + 20]).values()) for i in range(len(s) - 19))
+        if m.span() not in base and not re.search(S.ALLOWED, s, re.A) and top >= least:
+            out.append(f"entropy:{m.start()}:{m.end()}")
+    return out
+
+
+def test_entropy_spans_match_brute_force(spark):
+    r = random.Random(11)
+    key = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    sets = ["abcdef0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghij0123456789", "aB3dE6gH9jK/+xYz-_", "aaaab1", "AKIA01234567"]
+    rows = []
+    for k in range(200):
+        bits = [r.choice(["word", "password=", "secret: ", "id ", "\n", "é", "KEY=", "x/y/", "token = '"]) + key(r.choice(sets), r.choice([5, 19, 20, 33, 64])) for _ in range(r.randrange(6))]
+        rows.append((k, r.choice(["", " ", "; "]).join(bits)))
+    rows += [(200, None), (201, ""), (7, rows[7][1]), (None, "token=" + key(sets[3], 40))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((x.doc_id, *sorted(x.spans.split(","))) for x in S.report(d).collect())
+    want = Counter((i, *sorted([x for x in brute(t)[4].split(",") if x] + entropy_spans(t) or [""])) for i, t in rows)
+    assert got == want and sum(len(entropy_spans(t)) for _, t in rows) > 50

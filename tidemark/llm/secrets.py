@@ -3,7 +3,7 @@
 Three kinds of spans come from patterns: assignments to telling names, access keys and long hexadecimal strings. A fourth,
 ``entropy``, comes from candidate strings: a window of ``WINDOW`` characters slides over each, character counts are updated
 by the one that enters and the one that leaves, and the largest Shannon entropy met is held against the threshold of the
-string's character class. Candidates on the allow-list, and those that a pattern's span touches, are left out.
+string's character class. Candidates on the allow-list, and those that are just a pattern's span, are left out.
 
 Functions find matches but not their places; the texts between the matches, by ``split`` at the same pattern, give those.
 """
@@ -95,7 +95,8 @@ def _digest(spans: Column) -> Column:
 
 def annotate(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` with a column of spans, whose name is returned: an array of (start, kind, end, value), sorted; kind numbers
-    KINDS and end is exclusive. A null or empty text has none; repeated rows have theirs each."""
+    KINDS and end is exclusive. Spans of different kinds may overlap; one of entropy that equals another's is left out.
+    A null or empty text has none; repeated rows have theirs each."""
     name, base, extra = free_name(docs, "_spans"), free_name(docs, "_base"), free_name(docs, "_candidates")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     assign = F.filter(_places(text, ASSIGN, 2, 0), lambda s: F.length(s["value"]) >= VALUE)
@@ -105,14 +106,15 @@ def annotate(docs: DataFrame) -> tuple[DataFrame, str]:
     random = F.filter(
         F.col(extra),
         lambda s: ~F.regexp_like(s["value"], F.lit(ALLOWED))
-        & ~F.exists(known, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        & ~F.exists(known, lambda b: (b["start"] == s["start"]) & (b["end"] == s["end"]))
         & (top_entropy(s["value"]) >= _threshold(s["value"])),
     )
     return out.withColumn(name, F.when(F.size(extra) == 0, known).otherwise(F.array_sort(F.concat(known, random)))).drop(base, extra), name
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of each document."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of each document, null ids and repeated rows too. Where
+    spans begin at the same place, the kinds' order decides. No documents give no rows."""
     out, s = annotate(docs.select("doc_id", "text"))
     count = lambda k: F.size(F.filter(F.col(s), lambda x: x["kind"] == k)).cast("long")
     return out.select(
