@@ -16,9 +16,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import crc_mod, free_name, materialise, utf8
+from tidemark.llm.base import crc_mod, free_name, materialise
 
 SAMPLE = 4_000
 #: Of one language at most this many rows of the sample.
@@ -165,19 +166,15 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def train(docs: DataFrame, fold: Column, sample: int = SAMPLE, per_language: int = PER_LANGUAGE) -> Model:
     """Fits on documents of a fold (a condition on doc_id) with a language: ``sample`` rows at most, and of one language
-    ``per_language``, chosen by a hash of the id. Null ids, texts and languages are left out. Without any, every text is
-    ``und``.
+    ``per_language``, chosen by a hash of the id; each language's first rows come before any's second, so that all have
+    some while there are no more languages than ``sample``. An id with two languages counts for the least. Null ids, texts
+    and languages are left out; an empty language is one as others are. Without any, every text is ``und``.
     """
-    usable = docs.select("doc_id", "lang").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != "") & fold)
-    ids = usable.withColumn("k", F.struct(F.xxhash64("doc_id"), "doc_id"))
-    langs = [r.lang for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()]
-    chosen = None
-    for lang in langs:
-        few = ids.filter(F.col("lang") == lang).orderBy("k").limit(per_language).select("doc_id", F.col("lang").alias("lang"))
-        chosen = few if chosen is None else chosen.unionByName(few)
-    if chosen is None:
-        return fit(np.zeros((0, PLACES), np.float32), [])
-    chosen = materialise(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).groupBy("doc_id").agg(F.min("lang").alias("lang")), "languages")
+    usable = docs.select("doc_id", "lang").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & fold)
+    # Spark cuts a language's rows to the first ones in each task, before they are dealt by language
+    ranked = usable.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("n") <= per_language)
+    chosen = ranked.orderBy("n", F.xxhash64("doc_id"), "doc_id", "lang").limit(sample).groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    chosen = materialise(chosen, "languages")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     pdf = rows.mapInPandas(_read, "doc_id long, lang string, x binary").toPandas().sort_values("doc_id")
     x = np.array([np.frombuffer(v, "<f2") for v in pdf["x"]], np.float32).reshape(-1, PLACES)
@@ -186,7 +183,7 @@ def train(docs: DataFrame, fold: Column, sample: int = SAMPLE, per_language: int
 
 def annotate(docs: DataFrame, model: Model) -> tuple[DataFrame, str]:
     """``docs`` with a column of lang_pred and score, whose name is returned. Null texts and those without a letter are
-    ``und`` with score 0."""
+    ``und`` with score 0. A tie of votes goes to the larger margins, then to the last language by name."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
@@ -205,7 +202,7 @@ def training_fold(doc_id: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of each document."""
+    """doc_id, held_out, lang_pred, score of each document, null ids (never held out) and repeated rows too."""
     model = train(docs, training_fold(F.col("doc_id")))
     out, s = annotate(docs.select("doc_id", "text"), model)
     return out.select("doc_id", (~training_fold(F.col("doc_id"))).alias("held_out"), F.col(f"{s}.lang_pred").alias("lang_pred"), F.col(f"{s}.score").alias("score"))
