@@ -2,8 +2,9 @@
 
 Features are rates of a whole text: densities of a lexicon of words and of word stems (both learned from the training
 fold by a log-likelihood test, beside a small built-in list of insults), how close its hits stand to the second person,
-capitals, punctuation, and spellings that hide letters. Trees, lexicon and calibration are fitted on separate parts of a
-bounded sample of labelled rows; what is broadcast is the model, whose size its parameters bound.
+capitals, punctuation, and spellings that hide letters. All are fitted on a bounded sample of labelled rows in two halves:
+a row's features come from the other half's lexicon, and the margin by which it takes part in the calibration from trees
+grown on the other half. What is broadcast is the model, whose size its parameters bound.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ STEMS = (4, 5, 6)
 #: Log-likelihood ratio from which a word counts as a sign of toxicity.
 EVIDENCE = 25.0
 TREES, DEPTH, RATE, BINS, LEAF = 60, 3, 0.2, 32, 12
+#: Documents that hold a term, by half and label.
+COUNTS = ("neg0", "pos0", "neg1", "pos1")
 
 # Insults and second persons of the languages at hand.
 INSULTS = "idiot idiots stupid moron morons loser losers scum trash pathetic worthless disgusting clown dumb imbecile jerk bastard idiota imbécil estúpido basura asqueroso payaso idiote crétin imbécile ordure minable dégoûtant salaud dumm blöd abschaum ekelhaft trottel versager"
@@ -133,33 +136,32 @@ def features(text: bytes, lexicon: Lexicon) -> np.ndarray:
     return out
 
 
-def learn_lexicon(counts: DataFrame, positives: int, negatives: int) -> Lexicon:
-    """counts: term, pos, neg (documents that hold it). Keeps the LEXICON terms with most evidence at most."""
-    p, n = F.col("pos").cast("double"), F.col("neg").cast("double")
+def learn_lexicon(counts: DataFrame, pos: Column, neg: Column, positives: int, negatives: int) -> Lexicon:
+    """counts: term, and ``pos`` and ``neg`` documents that hold it. Keeps the LEXICON terms with most evidence at most;
+    those with equal evidence in the order of the terms."""
+    p, n = pos.cast("double"), neg.cast("double")
     total, share = p + n, positives / max(1, positives + negatives)
     part = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
     evidence = 2 * (part(p, total * share) + part(n, total * (1 - share)))
     kept = counts.filter((p > 2 * share * total) & (p > 4 * n)).withColumn("e", evidence).filter(F.col("e") >= EVIDENCE)
-    rows = kept.orderBy(F.desc("e"), "term").limit(LEXICON).collect()
-    terms = [bytes(r.term) for r in rows]
+    terms = [bytes(r.term) for r in kept.orderBy(F.desc("e"), "term").limit(LEXICON).collect()]
     return Lexicon(frozenset(t[1:] for t in terms if t[:1] == b"w"), frozenset(t[1:] for t in terms if t[:1] == b"s"))
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words and stems of the documents of a task, by label."""
+    """Counts of words and stems of the documents of a task, by half and label."""
     counts: dict[bytes, list[int]] = {}
-    emit = lambda: pa.RecordBatch.from_pydict(
-        {
-            "term": pa.array(list(counts), pa.binary()),
-            "pos": pa.array([c[1] for c in counts.values()], pa.int64()),
-            "neg": pa.array([c[0] for c in counts.values()], pa.int64()),
-        }
-    )
+
+    def emit() -> pa.RecordBatch:
+        own = np.array(list(counts.values()), np.int64).reshape(-1, 4)
+        return pa.RecordBatch.from_pydict({"term": pa.array(list(counts), pa.binary())} | {c: pa.array(own[:, k]) for k, c in enumerate(COUNTS)})
+
     for batch in batches:
-        for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for half, y, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
             words = set(words_of(text or b""))
+            at = 2 * half + (1 if y else 0)
             for t in {b"w" + w for w in words} | {b"s" + w[:k] for w in words for k in STEMS if len(w) > k}:
-                counts.setdefault(t, [0, 0])[1 if y else 0] += 1
+                counts.setdefault(t, [0] * 4)[at] += 1
             if len(counts) > 400_000:
                 yield emit()
                 counts.clear()
@@ -266,10 +268,11 @@ class Model:
         return np.clip(flat + 1e-4 * (1 / (1 + np.exp(-m)) - 0.5), 0, 1)
 
 
-def _featuriser(lexicon: Lexicon):
+def _featuriser(of_half: tuple[Lexicon, Lexicon]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "part": b["part"], "x": [features(bytes(t or b""), lexicon).astype("<f4").tobytes() for t in b["text"]]})
+            x = [features(bytes(t or b""), of_half[h]).astype("<f4").tobytes() for h, t in zip(b["half"], b["text"])]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "half": b["half"], "x": x})
 
     return run
 
@@ -277,26 +280,27 @@ def _featuriser(lexicon: Lexicon):
 def train(docs: DataFrame, labels: DataFrame, fold: Column, sample: int = SAMPLE) -> Model:
     """Fits on labelled documents of a fold (a condition on the labels' doc_id), ``sample`` rows at most.
 
-    Half of the sample gives the lexicon, three tenths the trees, the rest the calibration; a part in which a class has
-    fewer than 20 rows is the whole sample instead. Without labels the model scores by the built-in list alone.
+    Rows with a null id or label are left out; an id that repeats counts once. Without labels, or with one kind only,
+    no tree is grown and every text scores alike, below a half. The halves are dealt by a hash of the id.
     """
-    rows = materialise(labelled_sample(docs, labels, "toxic", fold, sample).select("doc_id", "y", utf8(F.col("text")).alias("text"), F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(10)).cast("int").alias("part")), "toxic")
-    sizes = {(r.y > 0, r.a): r.n for r in rows.groupBy("y", (F.col("part") < 5).alias("a")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    half = min(sizes.get((c, True), 0) for c in (True, False)) >= 20
-    pos, neg = (sum(n for (c, a), n in sizes.items() if c == y and (a or not half)) for y in (True, False))
-    terms = (rows.filter("part < 5") if half else rows).select("y", "text").mapInArrow(_terms, "term binary, pos long, neg long")
-    lexicon = learn_lexicon(terms.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), pos, neg)
-    pdf = rows.mapInPandas(_featuriser(lexicon), "doc_id long, y int, part int, x binary").toPandas().sort_values("doc_id")
+    half = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(2)).cast("int").alias("half")
+    rows = materialise(labelled_sample(docs, labels, "toxic", fold, sample).select("doc_id", "y", utf8(F.col("text")).alias("text"), half), "toxic")
+    n = [[0, 0], [0, 0]]
+    for r in rows.groupBy("half", (F.col("y") > 0).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect():  # 4 rows at most
+        n[r.half][r.y] = r.n
+    terms = rows.select("half", "y", "text").mapInArrow(_terms, "term binary, " + ", ".join(f"{c} long" for c in COUNTS))
+    terms = materialise(terms.groupBy("term").agg(*[F.sum(c).alias(c) for c in COUNTS]), "terms")
+    first, second = (learn_lexicon(terms, F.col(f"pos{h}"), F.col(f"neg{h}"), n[h][1], n[h][0]) for h in (0, 1))
+    lexicon = learn_lexicon(terms, F.col("pos0") + F.col("pos1"), F.col("neg0") + F.col("neg1"), n[0][1] + n[1][1], n[0][0] + n[1][0])
+    pdf = rows.mapInPandas(_featuriser((second, first)), "doc_id long, y int, half int, x binary").toPandas().sort_values("doc_id")
     x = np.array([np.frombuffer(v, "<f4") for v in pdf["x"]], float).reshape(-1, len(FEATURES))
-    y, part = (pdf["y"].to_numpy() > 0).astype(float), pdf["part"].to_numpy()
-    enough = lambda m: min(y[m].sum(), (1 - y[m]).sum()) >= 20
-    tree_part, last_part = (part >= 5) & (part < 8), part >= 8
-    if not (half and enough(tree_part) and enough(last_part)):
-        tree_part = last_part = np.ones(len(y), bool)
+    y, half = (pdf["y"].to_numpy() > 0).astype(float), pdf["half"].to_numpy()
     if not len(y) or y.min() == y.max():
         return Model(lexicon, Trees([np.zeros(0)] * len(FEATURES), np.zeros((0, 1, 2), int), np.zeros((0, 1)), -2.0), (np.zeros(0), np.zeros(0)))
-    trees = grow(x[tree_part], y[tree_part])
-    return Model(lexicon, trees, isotonic(trees.margin(x[last_part]), y[last_part]))
+    margin = np.zeros(len(y))
+    for h in (0, 1):
+        margin[half == h] = grow(x[half != h], y[half != h]).margin(x[half == h])
+    return Model(lexicon, grow(x, y), isotonic(margin, y))
 
 
 def annotate(docs: DataFrame, model: Model) -> tuple[DataFrame, str]:
@@ -319,7 +323,8 @@ def training_fold(doc_id: Column) -> Column:
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of each document."""
+    """doc_id, held_out, score, predicted of each document; null ids (crc32 of an empty text decides on their fold) and
+    repeated rows are scored each. Equal texts score alike; a score of exactly 0.5 counts as toxic."""
     model = train(docs, labels, training_fold(F.col("doc_id")))
     out, s = annotate(docs.select("doc_id", "text"), model)
     return out.select("doc_id", (~training_fold(F.col("doc_id"))).alias("held_out"), F.col(s).alias("score"), (F.col(s) >= 0.5).cast("int").alias("predicted"))
