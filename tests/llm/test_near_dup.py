@@ -76,3 +76,19 @@ def test_edges(spark):
     want = [(5, 2, 2, False), (5, 2, 2, False), (5, 1, 5, True), (None, 2, 2, False), (2, 2, 2, True), (None, 0, None, True), (None, 1, None, True), (7, 0, 7, True), (8, 0, 8, True)]
     assert got == sorted(want, key=repr)
     assert N.report(d.limit(0)).count() == 0
+
+
+def test_hot_lists_in_blocks_and_a_group_that_mostly_does_not_link(spark, monkeypatch):
+    r = random.Random(9)
+    word = lambda: "w%d" % r.randrange(9000)
+    shared, rows = [word() for _ in range(150)], []
+    for k in range(160):  # similar to each other, but below the threshold
+        rows.append((k, " ".join(shared + [word() for _ in range(40)])))
+    for k in range(160, 240):  # near copies of one text
+        w = shared + [str(i) for i in range(100)]
+        w[r.randrange(150, 250)] = word()
+        rows.append((k, " ".join(w)))
+    rows += [(300, "long text of many words " * 40_000), (301, "long text of many words " * 40_000), (302, None), (302, "")]
+    monkeypatch.setattr(N, "BLOCK", 16)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, N.report(d).collect()), key=repr) == brute(rows)

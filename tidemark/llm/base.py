@@ -17,11 +17,13 @@ CACHE_WORDS = 150_000
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where it is unset a folder of this process."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a folder of this process, on a local master only."""
     conf = spark.sparkContext.getConf()
     found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not hasattr(shared_root, "own"):
         shared_root.own = tempfile.mkdtemp(prefix="tidemark-")
         atexit.register(shutil.rmtree, shared_root.own, ignore_errors=True)
@@ -37,13 +39,29 @@ def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a scratch path through Hadoop, wherever it lies."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    if path in WRITTEN:
+        WRITTEN.remove(path)
+
+
+#: Scratch tables of this process that still exist, in the order in which they were written.
+WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
+    """Deletes the scratch tables written after the first ``since``, but for ``keep``: results that read them must have
+    been written or used by then."""
+    for path in WRITTEN[since:]:
+        if path != keep:
+            drop_path(spark, path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back: lineage ends at files that outlive executors."""
+    """Writes ``df`` as Parquet to the shared folder and reads it back: lineage ends at files that outlive executors. The
+    table stays until ``release`` or ``drop_path``, as results may be read any time."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    WRITTEN.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

@@ -12,6 +12,9 @@ its main component follows. Then classes outside the main component of a list ar
 left out where the shingles that a class shares with any other candidate are too few for the threshold, which is exact.
 Candidates' whole shingle sets decide; no candidate is capped.
 
+Lists longer than ``BLOCK`` that hold more than one in ``HOT`` of all postings are dealt in blocks, so that no list lands
+in one task; there are at most ``HOT`` of those, which is what their broadcast is bounded by.
+
 Components are found by passing on the least label and jumping along labels; each step is written to the shared folder.
 """
 
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import WordHash, free_name, gram_hashes, materialise, mixed, odd_numbers, utf8
+from tidemark.llm.base import WordHash, drop_path, free_name, gram_hashes, materialise, mixed, odd_numbers, utf8
 
 SHINGLE = 5
 #: Two documents are linked if 100 times their common shingles reach SIMILAR times all of theirs.
@@ -36,6 +39,9 @@ BROADCAST_IDS = 1_000_000
 #: Star rounds go on while one in so many of the pairs held together is a link.
 PAYS = 10
 STARS = 8
+#: Postings of a list that are dealt together at most, if the list has more than one in HOT of all postings.
+BLOCK = 256
+HOT = 10_000
 
 _GRAM = odd_numbers(SHINGLE, 4)
 _MINIMA = odd_numbers(COORDINATES, 44)
@@ -102,18 +108,20 @@ def _similar_udf(similar: int):
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(id, label) for the ends of the edges (a, b): the least id of each component."""
+    """(id, label) for the ends of the edges (a, b): the least id of each component. Tables of a step that the next has
+    read are deleted."""
     both = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialise(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")), "labels")
     while True:
         heard = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("m"))
         new = labels.join(heard, "id").select("id", F.least("label", "m").alias("to"), F.col("label").alias("was"))
         jump = labels.select(F.col("id").alias("to"), F.col("label").alias("on"))
+        before = labels
         labels = materialise(new.join(jump, "to").select("id", F.least("to", "on").alias("label"), (F.least("to", "on") != F.col("was")).alias("moved")), "labels")
-        moved = labels.filter("moved").limit(1).count()
-        labels = labels.select("id", "label")
-        if not moved:
-            return labels
+        drop_path(edges.sparkSession, before.scratch_path)
+        if not labels.filter("moved").limit(1).count():
+            drop_path(edges.sparkSession, both.scratch_path)
+            return labels.select("id", "label")
 
 
 def _merge(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -143,6 +151,22 @@ def _possible(a: str, b: str, similar: int, matches: int) -> Column:
     return (100 * common >= similar * union) & (F.size(F.array_intersect(c(a, "every"), c(b, "every"))) >= matches)
 
 
+def _shared(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The postings (t, ...) of lists of two or more, with the list's length ``c`` and its number of blocks ``nb`` (1 but
+    for hot lists), and (t, nb) of the hot lists: HOT at most, as each has more than one in HOT of all postings."""
+    counts = materialise(posts.groupBy("t").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "lists")
+    every = counts.agg(F.sum("c")).first()[0] or 0
+    hot = counts.filter((F.col("c") > BLOCK) & (F.col("c") * HOT > every)).withColumn("nb", F.ceil(F.col("c") / BLOCK).cast("long"))
+    hot = F.broadcast(materialise(hot, "hot"))
+    cold = posts.join(hot.select("t"), "t", "left_anti").join(counts, "t").withColumn("nb", F.lit(1).cast("long"))
+    return cold.unionByName(posts.join(hot, "t")), hot
+
+
+def _blocks(df: DataFrame) -> DataFrame:
+    """A row of ``df`` for each block of its list."""
+    return df.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+
+
 def classes(docs: DataFrame, similar: int = SIMILAR, matches: int = MATCHES) -> DataFrame:
     """doc_id, n_shingles, component_id of each document (doc_id, text).
 
@@ -156,8 +180,7 @@ def classes(docs: DataFrame, similar: int = SIMILAR, matches: int = MATCHES) ->
     own = materialise(known.agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies")).filter("rep is not null"), "classes")
     # postings: how often each pair of coordinate and value occurs; those that occur once meet nothing
     posted = own.select("key", F.explode("sig").alias("t"))
-    often = posted.groupBy("t").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    per = posted.join(often, "t").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("s"), F.sum("c").alias("score"))
+    per = _shared(posted)[0].groupBy("key").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("s"), F.sum("c").alias("score"))
     per = per.filter(F.size("s") >= matches).join(own.select("key", "n", "rep"), "key")
     candidates = materialise(
         per.select(F.monotonically_increasing_id().alias("id"), "key", "n", "rep", "score", F.transform("s", lambda x: x["t"]).alias("every"), F.transform(F.slice("s", F.lit(1), F.size("s") - (matches - 1)), lambda x: x["t"]).alias("prefix")),
@@ -173,9 +196,9 @@ def classes(docs: DataFrame, similar: int = SIMILAR, matches: int = MATCHES) ->
     sets, texts = texts.select("id", "h"), texts.select("id", "text")
     able = candidates.join(alone, "id", "left").withColumn("u", F.coalesce("u", F.lit(0))).filter(100 * (F.col("n") - F.col("u")) >= similar * F.col("n"))
     posts = able.select("id", "n", "u", "score", "every", "prefix", F.explode("prefix").alias("t"))
-    many = able.select(F.explode("prefix").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("t")
-    posts = materialise(posts.join(many, "t"), "postings")
-    side = lambda df, s: df.select(*[F.col(c).alias(c if c == "t" else f"{s}_{c}") for c in df.columns])
+    posts = _shared(posts)[0].drop("c")
+    posts = materialise(posts.withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb"))), "postings")
+    side = lambda df, s: df.select(*[F.col(c).alias(c if c in ("t", "block") else f"{s}_{c}") for c in df.columns])
     comp = materialise(posts.select("id", F.col("id").alias("comp")).distinct(), "components")
     used = None
     rank = F.struct("score", (-F.col("id")).alias("least"), "comp")
@@ -189,8 +212,8 @@ def classes(docs: DataFrame, similar: int = SIMILAR, matches: int = MATCHES) ->
             centers = rest.groupBy("t").agg(F.max(rank).alias("best")).select("t", (-F.col("best.least")).alias("id"))
         centers = materialise(centers, "centers")
         used = centers if used is None else used.unionByName(centers)
-        left, right = side(now.join(centers, ["t", "id"]), "p"), side(now.drop("prefix"), "q")
-        met = left.join(right, "t").filter((F.col("p_comp") != F.col("q_comp")) & _possible("p", "q", similar, matches))
+        left, right = side(_blocks(now.join(centers, ["t", "id"])), "p"), side(now.drop("prefix"), "q")
+        met = left.join(right, ["t", "block"]).filter((F.col("p_comp") != F.col("q_comp")) & _possible("p", "q", similar, matches))
         pairs = materialise(met.select(F.col("p_id").alias("a"), F.col("q_id").alias("b")).distinct(), "stars")
         links = materialise(_verified(pairs, texts, similar), "links")
         comp = _merge(comp, links)
@@ -201,8 +224,8 @@ def classes(docs: DataFrame, similar: int = SIMILAR, matches: int = MATCHES) ->
     now = posts.join(comp, "id")
     home = now.groupBy("t").agg(F.max(rank).alias("top"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("t", F.col("top.comp").alias("home"))
     now = materialise(now.join(home, "t").join(sets, "id"), "rest")
-    left, right = side(now.filter("comp <> home"), "p"), side(now, "q")
-    met = left.join(right, "t").filter(
+    left, right = side(_blocks(now.filter("comp <> home")), "p"), side(now, "q")
+    met = left.join(right, ["t", "block"]).filter(
         (F.col("p_comp") != F.col("q_comp"))
         & ((F.col("q_comp") == F.col("q_home")) | (F.col("p_id") < F.col("q_id")))
         & _possible("p", "q", similar, matches)
