@@ -9,26 +9,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, near_dup, packing, secrets, toxicity
-from tidemark.llm.base import materialise, table
+from tidemark.llm.base import WRITTEN, materialise, release, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that score 0.5 or more go. Null and empty texts, null ids and repeated rows are scored as others are."""
     return toxicity.reject(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group the least doc_id stays, with every row that repeats it; texts without words and null ids stay."""
     return near_dup.keep_first(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated rows go; null texts have no words and stay."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows stay; spans of secrets become marks and n_chars follows. Null texts stay null."""
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document, null and empty texts' and repeated rows' too."""
     return packing.pack(docs)
 
 
@@ -45,7 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages in turn over all documents; what a stage wrote besides its result is deleted once the result is there.
+    An empty table gives no pieces; extra columns pass through the stages as they are."""
+    docs, first = table(spark, sf_dir, "documents"), len(WRITTEN)
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(spark, first, docs.scratch_path)
     return STAGES[-1][1](spark, docs, sf_dir)
