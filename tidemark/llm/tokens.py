@@ -14,8 +14,8 @@ import re
 
 import numpy as np
 
-#: Pieces remembered; beyond them the memory starts anew.
-CACHE_PIECES = 250_000
+#: Pieces remembered; beyond them a new memory begins, into which the last one's pieces move as they are met again.
+CACHE_PIECES = 200_000
 
 _SPACE = "\t-\r \x85\xa0  -     　"
 _PIECE = re.compile(
@@ -45,6 +45,7 @@ class Encoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.width[i] = len(token)
         self.memory: dict[str, bytes] = {}
+        self.last: dict[str, bytes] = {}
 
     def _learn(self, pieces: list[str]) -> None:
         """Encodes new pieces, many in one call: a piece that begins with a space can follow any other that ends in a non-space."""
@@ -54,7 +55,7 @@ class Encoder:
             self.memory[p] = np.array(e.ids, "<u2").tobytes()
         for a in range(0, len(glued), 256):
             some = glued[a : a + 256]
-            ids = np.array(self.tokenizer.encode("".join(some), add_special_tokens=False).ids, "<u2")
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u2")
             ends = np.cumsum(self.width[ids])
             want = np.cumsum([len(p.encode()) for p in some])
             cuts = np.searchsorted(ends, want)
@@ -72,11 +73,12 @@ class Encoder:
         pieces = _PIECE.findall(text)
         got = list(map(self.memory.get, pieces))
         if None in got:
+            new = [p for p, g in zip(pieces, got) if g is None]
             if len(self.memory) > CACHE_PIECES:
-                self.memory.clear()
-                self._learn(list(dict.fromkeys(pieces)))
-            else:
-                self._learn(list(dict.fromkeys(p for p, g in zip(pieces, got) if g is None)))
+                self.last, self.memory, new = self.memory, {}, pieces
+            new = list(dict.fromkeys(new))
+            self.memory |= {p: self.last[p] for p in new if p in self.last}
+            self._learn([p for p in new if p not in self.memory])
             got = [self.memory[p] for p in pieces]
         return b"".join(got)
 
