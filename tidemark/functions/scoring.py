@@ -100,3 +100,8 @@ def cyclical(x: Column, period: int) -> tuple[Column, Column]:
 def csv_safe(x: Column) -> Column:
     """A cell that a spreadsheet doesn't take for a formula."""
     return F.when(F.regexp_like(x, F.lit(r"^[=+\-@\t\r]")), F.concat(F.lit("'"), x)).otherwise(x)
+
+
+def refit(drift: Column, coverage: Column, due: Column) -> Column:
+    """Whether a model is fitted anew: never with little coverage, else where it drifts and its last fit is long enough ago."""
+    return F.when(coverage < 0.6, "wait").when((drift >= 0.25) & due, "refit").otherwise("keep")

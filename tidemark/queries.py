@@ -271,18 +271,26 @@ def sandwich_brackets(spark, sf_dir):
     return joins.brackets(e, "pool", "user_id", "slot", "event_id", 60)
 
 
-_EDGES = "e AS (SELECT DISTINCT s_nationkey * 100 + l_partkey % 90 AS u, c_nationkey * 100 + l_suppkey % 90 AS v, (epoch(o_orderdate) / 86400)::BIGINT AS s FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity >= 49 AND l_discount >= 0.09)"
+_EDGES = "e AS (SELECT DISTINCT s_nationkey * 100 + l_partkey % 90 AS u, c_nationkey * 100 + l_suppkey % 90 AS v, (epoch(o_orderdate) / 86400)::BIGINT AS s FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey)"
 
 
-@query(
-    f"""WITH {_EDGES}, e0 AS (SELECT * FROM e WHERE u <> v), f AS (SELECT u AS o, v AS at, min(s) AS slot FROM e0 GROUP BY ALL), f1 AS (SELECT f.*, m.first FROM f JOIN (SELECT o, min(slot) AS first FROM f GROUP BY o) m USING (o)),
-s1 AS (SELECT o, e0.v, e0.s, first FROM f1 JOIN e0 ON e0.u = f1.at AND e0.s >= slot AND e0.s <= first + 200), b1 AS (SELECT o, min(s) AS slot FROM s1 WHERE v = o GROUP BY o),
-f2 AS (SELECT o, v AS at, min(s) AS slot, min(first) AS first FROM s1 WHERE v <> o AND o NOT IN (SELECT o FROM b1) AND NOT EXISTS (SELECT 1 FROM f WHERE f.o = s1.o AND f.at = s1.v) GROUP BY ALL),
-s2 AS (SELECT o, e0.v, e0.s FROM f2 JOIN e0 ON e0.u = f2.at AND e0.s >= slot AND e0.s <= first + 200), b2 AS (SELECT o, min(s) AS slot FROM s2 WHERE v = o GROUP BY o)
-SELECT o AS origin, 2 AS cycle_length, slot FROM b1 UNION ALL SELECT o, 3, slot FROM b2"""
-)
+def _cycles_sql(hops: int, reach: int) -> str:
+    """The hops one after the other: ``f`` is what is reached for the first time, ``b`` what comes back."""
+    parts = [
+        _EDGES, "e0 AS MATERIALIZED (SELECT * FROM e WHERE u <> v)", "g AS (SELECT u AS o, v AS p, min(s) AS slot FROM e0 GROUP BY ALL)",
+        "f1 AS MATERIALIZED (SELECT g.*, min(slot) OVER (PARTITION BY o) AS first FROM g)",
+    ]
+    for k in range(1, hops + 1):
+        parts.append(f"s{k} AS MATERIALIZED (SELECT o, e0.v AS p, min(e0.s) AS slot, first FROM f{k} JOIN e0 ON e0.u = f{k}.p AND e0.s >= slot AND e0.s <= first + {reach} GROUP BY ALL)")
+        parts.append(f"b{k} AS MATERIALIZED (SELECT o, slot FROM s{k} WHERE p = o)")
+        seen = " UNION ALL ".join(f"SELECT o, p FROM f{j}" for j in range(1, k + 1))
+        parts.append(f"f{k + 1} AS MATERIALIZED (SELECT * FROM s{k} WHERE p <> o AND o NOT IN (SELECT o FROM b{k}) AND (o, p) NOT IN ({seen}))")
+    return "WITH " + ",\n".join(parts) + "\n" + " UNION ALL ".join(f"SELECT o AS origin, {k + 1} AS cycle_length, slot FROM b{k}" for k in range(1, hops + 1))
+
+
+@query(_cycles_sql(6, 200))
 def cycle_hops(spark, sf_dir):
-    """Cycles of 2 to 7 edges over all of lineitem; the SQL has those of 2 and 3 over a few of its edges only."""
+    """Cycles of 2 to 7 edges over all of lineitem."""
     rows = t(spark, sf_dir, "lineitem").join(t(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(t(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
     edges = rows.select((F.col("s_nationkey") * 100 + F.col("l_partkey") % 90).alias("src"), (F.col("c_nationkey") * 100 + F.col("l_suppkey") % 90).alias("dst"), (F.unix_seconds(F.col("o_orderdate").cast("timestamp")) / 86400).cast("long").alias("slot")).distinct()
     return joins.cycles(edges, reach=200)
@@ -541,12 +549,11 @@ def robust_scale(spark, sf_dir):
 
 
 @query(
-    """WITH s AS (SELECT DISTINCT l_orderkey AS r, l_partkey AS i FROM lineitem WHERE l_orderkey < 3000), n AS (SELECT r, count(*) AS n FROM s GROUP BY r)
+    """WITH s AS (SELECT DISTINCT l_orderkey AS r, l_partkey AS i FROM lineitem), n AS (SELECT r, count(*) AS n FROM s GROUP BY r)
 SELECT x.a, x.b, x.common, x.common / (p.n + q.n - x.common) AS similarity FROM (SELECT a.r AS a, b.r AS b, count(*) AS common FROM s a JOIN s b USING (i) WHERE a.r < b.r GROUP BY ALL) x
 JOIN n p ON p.r = a JOIN n q ON q.r = b WHERE x.common / (p.n + q.n - x.common) >= 0.2"""
 )
 def jaccard_pairs(spark, sf_dir):
-    """Over all of lineitem; the SQL has the pairs below order 3000 only."""
     return joins.jaccard_pairs(t(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", 0.2)
 
 
@@ -571,13 +578,13 @@ def noise_rate(spark, sf_dir):
 
 
 @query(
-    """WITH c AS (SELECT label, i, avg(v::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings WHERE vec_id % 2 = 0) GROUP BY ALL),
-v AS (SELECT vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings WHERE vec_id % 2 = 1),
+    """WITH c AS (SELECT label, i, avg(v::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY ALL),
+v AS (SELECT vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings),
 d AS (SELECT vec_id, c.label, sqrt(sum((v.v::DOUBLE - c.m) ** 2)) AS dist FROM v JOIN c USING (i) GROUP BY ALL)
 SELECT vec_id, label AS cluster, round(dist, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, label) = 1"""
 )
 def nearest_centroid(spark, sf_dir):
-    """A model of means of all rows, broadcast; every row goes to the nearest. The SQL fits on even ids and places odd ones."""
+    """A model of means of all rows, broadcast; every row goes to the nearest."""
     e = t(spark, sf_dir, "embeddings")
     means = e.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
     model = means.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("mean")).agg(F.collect_list(F.struct("label", "mean")).alias("model"))
