@@ -113,7 +113,8 @@ def last_matching_rule(df: DataFrame, rules: DataFrame, match: Column, key: str)
 def seen_before(df: DataFrame, actor: str, at: str, counts: Column, name: str) -> DataFrame:
     """Each row with how many rows of its actor that ``counts`` marks are earlier in time (not at the same time).
 
-    Rows of an instant are added up first; a running sum over an actor's instants then takes the place of pairs.
+    Rows of an instant are added up first; a running sum over an actor's instants then takes the place of pairs. Rows
+    without an actor or time are left out.
     """
     instants = df.groupBy(actor, at).agg(F.count_if(counts).alias("_n"))
     w = W.partitionBy(actor).orderBy(at).rowsBetween(W.unboundedPreceding, -1)
@@ -122,7 +123,8 @@ def seen_before(df: DataFrame, actor: str, at: str, counts: Column, name: str) -
 
 
 def earlier_in_range(df: DataFrame, actor: str, at: str, reach: int) -> DataFrame:
-    """Each row with ``earlier``: rows of its actor, itself included, at most ``reach`` before it or at the same time."""
+    """Each row with ``earlier``: rows of its actor, itself included, at most ``reach`` before it or at the same time. Rows
+    without an actor or time are left out."""
     instants = df.groupBy(actor, at).agg(F.count(F.lit(1)).alias("_n"))
     w = W.partitionBy(actor).orderBy(at).rangeBetween(-reach, W.currentRow)
     return df.join(instants.select(actor, at, F.sum("_n").over(w).alias("earlier")), [actor, at])

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` from a checkpoint in spark.checkpoint.dir; only where that is unset, as in tests, in a folder of its own."""
+    """``df`` from a checkpoint in spark.checkpoint.dir. Where that is unset, in a folder of its own, on a local master only."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tidemark-')}")
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(shared or f"file://{tempfile.mkdtemp(prefix='tidemark-')}")
     return df.checkpoint()
