@@ -167,12 +167,15 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def train(docs: DataFrame, fold: Column, sample: int = SAMPLE, per_language: int = PER_LANGUAGE) -> Model:
     """Fits on documents of a fold (a condition on doc_id) with a language: ``sample`` rows at most, and of one language
     ``per_language``, chosen by a hash of the id; each language's first rows come before any's second, so that all have
-    some while there are no more languages than ``sample``. An id with two languages counts for the least. Null ids, texts
+    some while there are no more languages than ``sample``, beyond which the rarest are left out. An id with two languages counts for the least. Null ids, texts
     and languages are left out; an empty language is one as others are. Without any, every text is ``und``.
     """
     usable = docs.select("doc_id", "lang").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & fold)
-    # Spark cuts a language's rows to the first ones in each task, before they are dealt by language
-    ranked = usable.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("n") <= per_language)
+    # of a frequent language only about twice as many rows as it may have, by the hash that orders them, are dealt by language
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(sample)
+    share = F.xxhash64("doc_id") / 2.0**64 + 0.5
+    few = usable.join(F.broadcast(counts), "lang").filter(share * F.col("n") < 2 * per_language + 100).select("doc_id", "lang").distinct()
+    ranked = few.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("n") <= per_language)
     chosen = ranked.orderBy("n", F.xxhash64("doc_id"), "doc_id", "lang").limit(sample).groupBy("doc_id").agg(F.min("lang").alias("lang"))
     chosen = materialise(chosen, "languages")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
