@@ -17,6 +17,8 @@ from tidemark.plans.score import output_features, parse, quarantine
 
 EVENT = "direction string, network string, slot long, block_hash string, height long, ts timestamp, txs array<string>"
 TTL_SECONDS = 7200
+#: Longer than blocks may be rolled back.
+SETTLED_SECONDS = 172_800
 COLLIDES = "ref string, tx_a string, tx_b string, at double, delta double"
 LIFE = "tx_id string, status string, first_seen timestamp, confirmed_at timestamp, latency_ms long"
 
@@ -48,11 +50,15 @@ def ingest(spark: SparkSession, source: DataFrame, root: str, now=F.current_time
     return step
 
 
-def pending_collisions(seen: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
+def pending_collisions(seen: DataFrame, ttl: int = TTL_SECONDS, idle: int = 2 * TTL_SECONDS) -> DataFrame:
     """Streaming: COLLIDES for each pair of pending transactions (tx, at, refs) that spend one reference within ``ttl``
-    seconds. State by reference: the transactions that wait for it, dropped as they grow old."""
+    seconds. State by reference: the transactions that wait for it, dropped as they grow old, and altogether where nothing
+    spends the reference for ``idle`` seconds of processing time."""
 
     def step(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held: list[tuple[str, float]] = list(zip(*state.get)) if state.exists else []
         out = []
         for pdf in frames:
@@ -64,22 +70,26 @@ def pending_collisions(seen: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
                 held.append((tx, at))
         if held:
             state.update(tuple(map(list, zip(*held))))
+            state.setTimeoutDuration(idle * 1000)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=["ref", "tx_a", "tx_b", "at", "delta"])
 
     rows = seen.select("tx", F.col("at").cast("double").alias("at"), F.explode("refs").alias("ref"))
-    return rows.groupBy("ref").applyInPandasWithState(step, COLLIDES, "txs array<string>, ats array<double>", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("ref").applyInPandasWithState(step, COLLIDES, "txs array<string>, ats array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def lifecycle_stream(events: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
+def lifecycle_stream(events: DataFrame, ttl: int = TTL_SECONDS, settled: int = SETTLED_SECONDS) -> DataFrame:
     """Streaming: LIFE rows as a transaction's events (tx_id, event, at; event seen, confirmed or rolled_back) change its
-    status; one that is only seen is DROPPED after ``ttl`` seconds of processing time."""
+    status; one that is only seen is DROPPED after ``ttl`` seconds of processing time. Any other is forgotten after ``settled``
+    seconds without an event; a rollback that comes later is seen by ``lifecycle`` alone."""
 
     def step(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         status, first, confirmed = state.get if state.exists else (None, None, None)
         if state.hasTimedOut:
             state.remove()
+            if status != "PENDING":
+                return
             yield pd.DataFrame([(key[0], "DROPPED", pd.Timestamp(first, unit="us") if first else None, None, None)], columns=["tx_id", "status", "first_seen", "confirmed_at", "latency_ms"])
             return
         was = status
@@ -93,8 +103,7 @@ def lifecycle_stream(events: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
                 elif event == "rolled_back" and status == "CONFIRMED":
                     status = "ROLLED_BACK"
         state.update((status, first, confirmed))
-        if status == "PENDING":
-            state.setTimeoutDuration(ttl * 1000)
+        state.setTimeoutDuration((ttl if status == "PENDING" else settled) * 1000)
         stamp = lambda us: pd.Timestamp(us, unit="us") if us else None
         rows = [(key[0], status, stamp(first), stamp(confirmed), (confirmed - first) // 1000 if first and confirmed else None)] if status != was else []
         yield pd.DataFrame(rows, columns=["tx_id", "status", "first_seen", "confirmed_at", "latency_ms"])
