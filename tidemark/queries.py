@@ -747,36 +747,67 @@ def url_extract(spark, sf_dir):
     return t(spark, sf_dir, "pages").select("page_id", T.host(first).alias("host"), T.registrable(T.host(first)).alias("domain"), F.col("url").contains("#").alias("fragment"))
 
 
-# --- payloads and clusters, which SQL can't express -------------------------------------------------------------------
+# --- payloads ---------------------------------------------------------------------------------------------------------
+
+_BAIT = "hurry, claim your part at sundaeswop.top"
 
 
 def order_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """network, raw_data: an order as a transaction's payload, its lines as outputs with assets."""
+    """network, raw_data: an order as a transaction's payload, its lines as outputs with assets. Some mint a token with a
+    registered name or burn it, some carry a message with a link."""
     line = t(spark, sf_dir, "lineitem")
     script = F.when(F.col("l_partkey") % 5 == 0, "addr_test1w").otherwise("addr_test1q")
     coin = F.create_map(F.lit("lovelace"), (F.col("l_extendedprice") * 100).cast("long"))
     asset = F.create_map(F.lpad(F.hex("l_partkey"), 12, "0"), F.pow(F.lit(10.0), F.col("l_quantity") % 19).cast("long"))
     value = F.map_concat(F.create_map(F.lit("ada"), coin), F.create_map(F.lpad(F.hex("l_suppkey"), 56, "0"), asset))
     out = F.struct(F.concat(script, F.lpad(F.col("l_suppkey").cast("string"), 20, "q")).alias("address"), value.alias("value"))
-    outputs = line.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", F.to_json(out).alias("o")))).alias("x"))
-    rows = t(spark, sf_dir, "orders").join(outputs, F.col("l_orderkey") == F.col("o_orderkey"))
+    outputs = line.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", F.to_json(out).alias("o")))).alias("x"))
+    rows = t(spark, sf_dir, "orders").join(outputs, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    key = F.col("o_orderkey").cast("string")
+    minted = F.concat(F.lit(',"mint":{"'), F.lpad(F.hex("o_custkey"), 56, "0"), F.lit('":{"494e4459":'), (F.col("o_orderkey") % 4 - 1).cast("string"), F.lit("}}"))
     raw = F.concat(
-        F.lit('{"id":"'), F.col("o_orderkey").cast("string"), F.lit('","fee":'), F.col("o_totalprice").cast("long").cast("string"), F.lit(',"inputs":[],"outputs":['),
-        F.array_join(F.transform("x", lambda o: o["o"]), ","), F.lit("]}"),
+        F.lit('{"id":"'), key, F.lit('","fee":'), F.col("o_totalprice").cast("long").cast("string"), F.when(F.col("o_orderkey") % 25 == 0, minted).otherwise(""),
+        F.when(F.col("o_orderkey") % 40 == 7, f',"metadata":{{"labels":{{"674":{{"json":{{"msg":["{_BAIT[:20]}","{_BAIT[20:]}"]}}}}}}}}').otherwise(""),
+        F.lit(',"inputs":[],"outputs":['), F.coalesce(F.array_join(F.transform("x", lambda o: o["o"]), ","), F.lit("")), F.lit("]}"),
     )
     return rows.select(F.lit("n").alias("network"), raw.alias("raw_data"))
 
 
-@query()
+_COIN, _POWER = "trunc(l_extendedprice * 100)::BIGINT", "(l_quantity % 19)::INT"
+_HEAD = f"CASE WHEN {_COIN} < 24 THEN 1 WHEN {_COIN} < 256 THEN 2 WHEN {_COIN} < 65536 THEN 3 WHEN {_COIN} < 4294967296 THEN 5 ELSE 9 END"
+# a value is a list of coin and policies: 56 and 12 characters of hex text, one asset each
+_OUTPUTS = f"""o AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) - 1 AS output_index,
+concat(CASE WHEN l_partkey % 5 = 0 THEN 'addr_test1w' ELSE 'addr_test1q' END, lpad(l_suppkey::VARCHAR, 20, 'q')) AS address, l_partkey % 5 = 0 AS is_script, ({_COIN})::DOUBLE AS ada, {_POWER} + 1 AS digits,
+1 + {_HEAD} + 1 + 2 + 56 + 1 + 1 + 12 + CASE WHEN {_POWER} < 2 THEN 1 WHEN {_POWER} < 3 THEN 2 WHEN {_POWER} < 5 THEN 3 WHEN {_POWER} < 10 THEN 5 ELSE 9 END AS value_bytes FROM lineitem)"""
+
+
+@query(
+    f"""WITH {_OUTPUTS}, v AS (SELECT *, {_n('digits', 13, 19)} AS d, round_even(100 * (0.55 * {_n('digits', 13, 19)} + 0.20 * {_n('value_bytes', 100, 1500)} + 0.15 * (1 - {_n('ada', 1.2e6, 2e6)})), 2) AS raw FROM o),
+x AS (SELECT l_orderkey, max(CASE WHEN is_script THEN CASE WHEN d < 0.05 THEN least(raw, 30) ELSE raw END ELSE -1 END) AS large_value, count(DISTINCT address) AS recipients FROM v GROUP BY ALL),
+y AS (SELECT o_orderkey, coalesce(large_value, -1) AS large_value, coalesce(recipients, 0) AS recipients, o_orderkey % 4 - 1 AS qty FROM orders LEFT JOIN x ON l_orderkey = o_orderkey),
+z AS (SELECT *, CASE WHEN o_orderkey % 25 = 0 AND qty > 0 THEN round_even(100 * (0.6 * 0.4 + 0.4 * (0.4 * {_n('recipients', 1, 100)} + 0.3 * (1 - {_n('(qty / (recipients + 1e-6))', 100, 100000)}) + 0.2)), 2) ELSE -1 END AS fake_token,
+CASE WHEN o_orderkey % 40 = 7 THEN round_even(100 * least(0.65 * (0.3 * {_n('0.9', 0, 0.85)} + 0.4 * {_n('0.3', 0, 0.3)}) + 0.35 * 0.35 * {_n('recipients', *scorers.BOOTSTRAP['url_recipients'])} + 0.25 + 0.15, 1), 2) ELSE -1 END AS phishing FROM y),
+w AS (SELECT *, greatest(large_value, fake_token, phishing) AS top FROM z)
+SELECT 'n' AS network, o_orderkey::VARCHAR AS tx_hash, -1.0 AS token_dust, large_value, -1.0 AS large_datum, -1.0 AS multiple_sat, -1.0 AS front_running, -1.0 AS sandwich, -1.0 AS circular, fake_token, phishing,
+greatest(top, 0) AS max_score, CASE WHEN top < 0 THEN NULL WHEN large_value = top THEN 'large_value' WHEN fake_token = top THEN 'fake_token' ELSE 'phishing' END AS max_class, {_BAND.format('top')} AS risk_band,
+((large_value >= 40)::INT + (fake_token >= 40)::INT + (phishing >= 40)::INT)::INT AS corroboration_count,
+concat_ws(',', CASE WHEN fake_token >= 40 THEN 'fake_token' END, CASE WHEN large_value >= 40 THEN 'large_value' END, CASE WHEN phishing >= 40 THEN 'phishing' END) AS corroborating_classes FROM w"""
+)
 def payload_scores(spark, sf_dir):
     return score.score(order_payloads(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH {_OUTPUTS} SELECT 'n' AS network, l_orderkey::VARCHAR AS tx_hash, output_index::INT AS output_index, address, is_script, ada, 1 AS tokens, 1 AS policies, digits, value_bytes::BIGINT AS value_bytes,
+0 AS datum_present, 0::BIGINT AS datum_bytes, value_bytes::BIGINT AS utxo_bytes, 0.0 AS datum_ratio FROM o WHERE l_orderkey IN (SELECT o_orderkey FROM orders)"""
+)
 def output_features(spark, sf_dir):
     return score.output_features(score.parse(order_payloads(spark, sf_dir))).drop("datum_hex")
 
 
+# --- clusters, which SQL can't express --------------------------------------------------------------------------------
+
+
 @query()
 def contract_outliers(spark, sf_dir):
     """Clusters and outliers of each segment's most recent customers."""
