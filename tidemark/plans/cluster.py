@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 MAX_TXS = 5000
 TREES, SAMPLE, NEIGHBOURS, CONTAMINATION = 300, 256, 20, 0.05
 SILHOUETTE_SAMPLE = 2000
+COMPONENTS = 8
 FAR, SOME, WELL = 4.0, 2.0, 2.75
 DRIFT, COVERAGE = 0.25, 0.6
 
@@ -151,6 +152,30 @@ def _scaled(x: np.ndarray) -> np.ndarray:
     return (x - m) / np.where(b == a, 1, b - a)
 
 
+def incidence_components(items: Sequence[Sequence | None], k: int = COMPONENTS, seed: int = 0) -> np.ndarray:
+    """The first ``k`` principal coordinates of rows by the items they hold (each counts once; signs are arbitrary), by
+    subspace iteration over the pairs of row and item. ``k`` is less where there are fewer rows or items; rows without items
+    are at 0."""
+    held = [sorted(set(filter(lambda v: v is not None, own if own is not None else ())), key=str) for own in items]
+    place = {v: j for j, v in enumerate(dict.fromkeys(v for own in held for v in own))}
+    n, m = len(held), len(place)
+    k = min(k, n - 1, m - 1)
+    if k < 1:
+        return np.zeros((n, 0))
+    rows = np.repeat(np.arange(n), [len(own) for own in held])
+    cols = np.array([place[v] for own in held for v in own], int)
+
+    def times(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+        return np.stack([np.bincount(at, v, size) for v in values.T], 1)
+
+    q = np.random.default_rng(seed).normal(size=(m, min(2 * k + 8, n, m)))
+    for _ in range(16):
+        q = np.linalg.qr(times(rows, q[cols], n))[0]
+        q = np.linalg.qr(times(cols, q[rows], m))[0]
+    u, sizes, _ = np.linalg.svd(times(rows, q[cols], n), full_matrices=False)
+    return (u * sizes)[:, :k]
+
+
 def recent(df: DataFrame, target: str, order: Sequence[Column], n: int = MAX_TXS) -> DataFrame:
     """The first ``n`` rows of each target; partial limits keep a large target from one task."""
     return df.withColumn("_n", F.row_number().over(W.partitionBy(target).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
@@ -159,16 +184,18 @@ def recent(df: DataFrame, target: str, order: Sequence[Column], n: int = MAX_TXS
 OUTLIERS = "cluster int, iso double, lof double, noise boolean, votes int, consensus double, score_rank long"
 
 
-def outliers(df: DataFrame, target: str, row: str, features: Sequence[str], eps: float | None = None, seed: int = 0) -> DataFrame:
+def outliers(df: DataFrame, target: str, row: str, features: Sequence[str], eps: float | None = None, seed: int = 0, items: str | None = None) -> DataFrame:
     """target, row and OUTLIERS: clusters and the ensemble of three detectors for each target of bounded size (see
-    ``recent``). Fewer than three rows are not judged."""
+    ``recent``). Fewer than three rows are not judged. With ``items`` (an array, such as a row's addresses) the features are
+    those given and the coordinates of ``incidence_components``."""
     features = list(features)
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(row).reset_index(drop=True)
         x = _scaled(pdf[features].fillna(0).to_numpy(float))
+        x = np.hstack([x, incidence_components(pdf[items], seed=seed)]) if items else x
         d = distances(x)
-        at, least = (eps, min(24, max(4, 2 * len(features)))) if eps else recommend(d, len(features))
+        at, least = (eps, min(24, max(4, 2 * x.shape[1]))) if eps else recommend(d, x.shape[1])
         labels = dbscan(d, at, least)
         iso, lof = rank_share(isolation(x, seed)), rank_share(local_outlier_factor(d))
         noise = labels < 0
@@ -180,7 +207,7 @@ def outliers(df: DataFrame, target: str, row: str, features: Sequence[str], eps:
 
     few = df.groupBy(target).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 3").select(target)
     kinds = dict(df.dtypes)
-    return df.select(target, row, *features).join(few, target).groupBy(target).applyInPandas(judge, f"{target} {kinds[target]}, {row} {kinds[row]}, {OUTLIERS}")
+    return df.select(target, row, *features, *([items] if items else [])).join(few, target).groupBy(target).applyInPandas(judge, f"{target} {kinds[target]}, {row} {kinds[row]}, {OUTLIERS}")
 
 
 def fit_model(clustered: DataFrame, target: str, cluster: str, features: Sequence[str]) -> DataFrame:
