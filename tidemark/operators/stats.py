@@ -46,13 +46,19 @@ def daily_counts(df: DataFrame, at: str, first: Column, last: Column, what: Colu
 
 
 def rank_percentile(df: DataFrame, value: str, out: str, keys: Sequence[str] = ()) -> DataFrame:
-    """(mean rank - 1) / (n - 1) of each row's value, 0 for a single row. Ranks come from counts of distinct values."""
+    """(mean rank - 1) / (n - 1) of each row's value, 0 for a single row. Ranks come from counts of distinct values, in ranges
+    between approximate quantiles, so that no task ranks all values of a key. Null values count as the least and get null."""
     keys = list(keys)
-    w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_k"))
-    below = F.coalesce(F.sum("_k").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    n = F.sum("_k").over(w)
-    ranks = counts.select(*keys, value, F.when(n > 1, (below + (F.col("_k") - 1) / 2) / (n - 1)).otherwise(0.0).alias(out))
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 1000).alias("_cuts"), F.sum("_k").alias("_n"))
+    counts = counts.join(cuts, keys) if keys else counts.crossJoin(F.broadcast(cuts))
+    below = F.filter(F.coalesce("_cuts", F.array().cast(cuts.schema["_cuts"].dataType)), lambda c: c < F.col(value))
+    counts = counts.withColumn("_range", F.size(below)).drop("_cuts")
+    ranges = counts.groupBy(*keys, "_range").agg(F.sum("_k").alias("_in"))
+    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_in").over(W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_in")
+    inner = F.coalesce(F.sum("_k").over(W.partitionBy(*keys, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    less, n = F.col("_before") + inner, F.col("_n")
+    ranks = counts.join(ranges, [*keys, "_range"]).select(*keys, value, F.when(n > 1, (less + (F.col("_k") - 1) / 2) / (n - 1)).otherwise(0.0).alias(out))
     return df.join(ranks, [*keys, value], "left")
 
 
