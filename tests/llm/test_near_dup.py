@@ -66,7 +66,11 @@ def test_components_match_brute_force(spark):
     assert got == brute(rows)
     kept = N.keep_first(d)
     assert kept.columns == d.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(x[0] for x in brute(rows) if x[3])
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(x[0] for x in brute(rows, 80) if x[3])
+
+
+def test_collisions_asked_for():
+    assert (N.matches_for(85), N.matches_for(80), N.matches_for(100)) == (15, 12, 32)
 
 
 def test_edges(spark):

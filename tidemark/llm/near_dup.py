@@ -2,8 +2,8 @@
 
 Texts with equal sets of word shingles are one class; what follows joins the classes. A class's signature has ``COORDINATES``
 minima; it is posted under each (coordinate, value) pair. Two classes whose similarity is the threshold agree in fewer than
-``MATCHES`` coordinates once in ten million times, so pairs with that many collisions are candidates. Pairs are ordered by how
-often they occur: a pair of classes with enough collisions shares one of the ``COORDINATES - MATCHES + 1`` rarest of either, so
+``matches_for(threshold)`` coordinates once in ten million times at most, so pairs with that many collisions are candidates. Pairs are
+ordered by how often they occur: a pair of classes with enough collisions shares one of the ``COORDINATES - matches + 1`` rarest of either, so
 only those prefixes are joined and the long lists of common passages are skipped.
 
 No list of postings is turned into all its pairs. First a list's best-connected class is held against the others (a star);
@@ -21,6 +21,7 @@ Components are found by passing on the least label and jumping along labels; eac
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,11 @@ from tidemark.llm.base import WordHash, drop_path, free_name, gram_hashes, mater
 SHINGLE = 5
 #: Two documents are linked if 100 times their common shingles reach SIMILAR times all of theirs.
 SIMILAR = 85
+#: The same where documents are taken away as near duplicates.
+NEAR = 80
 COORDINATES = 32
-MATCHES = 15
+#: The chance at most that a pair at the threshold has too few collisions.
+MISSED = 1e-7
 #: Classes at most whose ids are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Star rounds go on while one in so many of the pairs held together is a link.
@@ -43,6 +47,16 @@ STARS = 8
 BLOCK = 256
 HOT = 10_000
 
+
+
+def matches_for(similar: int) -> int:
+    """The collisions asked for: as many as a pair of the least similarity falls short of with the chance MISSED at most."""
+    p, short, m = similar / 100, 0.0, 0
+    while m < COORDINATES and (short := short + comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)) <= MISSED:
+        m += 1
+    return max(m, 1)
+
+
 _GRAM = odd_numbers(SHINGLE, 4)
 _MINIMA = odd_numbers(COORDINATES, 44)
 _TAGS = np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32)
@@ -167,13 +181,14 @@ def _blocks(df: DataFrame) -> DataFrame:
     return df.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
 
 
-def classes(docs: DataFrame, similar: int = SIMILAR, matches: int = MATCHES) -> DataFrame:
+def classes(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """doc_id, n_shingles, component_id of each document (doc_id, text).
 
     Texts without words, and null ones, have no shingles and are linked with nothing; with fewer words than a shingle the
     whole text is one. The component is the least doc_id reached. A null doc_id takes part in its class but is never the
     least; a class or component of null ids only has a null component. Repeated rows are copies of each other.
     """
+    matches = matches_for(similar)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text").cast("string")).alias("text"))
     signed = materialise(rows.mapInArrow(_sign, "doc_id long, n long, key binary, sig array<long>"), "signatures")
     known = signed.filter("key is not null").groupBy("key", "n")
@@ -247,7 +262,7 @@ def report(docs: DataFrame) -> DataFrame:
     return classes(docs).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_first(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
+def keep_first(docs: DataFrame, similar: int = NEAR) -> DataFrame:
     """``docs`` without the documents whose component has a smaller doc_id; columns as they were. Rows with a null id
     stay, and rows that repeat a kept id stay together."""
     gone = materialise(classes(docs, similar).filter("doc_id <> component_id").select("doc_id").distinct(), "dropped")
