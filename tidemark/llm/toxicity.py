@@ -10,7 +10,7 @@ grown on the other half. What is broadcast is the model, whose size its paramete
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import crc_mod, free_name, labelled_sample, materialise, utf8
+from tidemark.llm.base import CACHE_WORDS, crc_mod, free_name, labelled_sample, materialise, utf8
 
 #: Labelled rows that the model is fitted on at most.
 SAMPLE = 24_000
@@ -43,7 +43,8 @@ FEATURES = (
 _WORD = re.compile(rb"[^\x00-\x26\x28-\x2f\x3a-\x3f\x5b-\x60\x7b-\x7f]+")
 _LETTERS = bytes(range(0x61, 0x7B))
 _HIDE = bytes.maketrans(b"013457@$!", b"oieastasi")
-_SIGNED = re.compile(rb"[a-z0-9@$*!\x80-\xff]+")
+#: Whole runs of letters and signs that hold a sign.
+_SIGNED = re.compile(rb"(?<![a-z0-9@$*!\x80-\xff])[a-z\x80-\xff]*+[0-9@$*!][a-z0-9@$*!\x80-\xff]*+")
 _SIGN = re.compile(rb"[0-9@$*!]")
 _LETTER = re.compile(rb"[a-z]")
 _HIDDEN = re.compile(rb"[a-z][a-z0-9@$*!]+[a-z]")
@@ -53,6 +54,47 @@ LONGEST = 40
 _STRETCHED = re.compile(rb"([a-z])\1\1")
 
 
+#: What a word is: bits of its number in ``WordSigns``.
+SECOND, INSULT, LEXICAL, STEM, CAPS, DIGITS, STRETCH = (1 << k for k in range(7))
+
+
+class Remembered(dict):
+    """word -> ``of(word)``, remembered for the words seen lately."""
+
+    def __init__(self, of: Callable[[bytes], int]):
+        self.of = of
+
+    def __missing__(self, word: bytes) -> int:
+        v = self.of(word)
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[word] = v
+        return v
+
+
+class WordSigns(Remembered):
+    """The bits of words as they are written."""
+
+    def __init__(self, lexicon: Lexicon):
+        super().__init__(self.look)
+        self.lexicon = lexicon
+
+    def look(self, raw: bytes) -> int:
+        lexicon, w = self.lexicon, raw.lower()
+        v = STRETCH if _STRETCHED.search(w) else 0
+        if w in lexicon.words:
+            v |= LEXICAL
+        elif w[:4] in lexicon.stems or w[:5] in lexicon.stems or w[:6] in lexicon.stems:
+            v |= STEM
+        if w in lexicon.insults:
+            v |= INSULT
+        if w in lexicon.second:
+            v |= SECOND
+        if w == raw:
+            return v | DIGITS if raw.isdigit() else v
+        return v | CAPS if len(raw) > 1 and raw.isupper() else v
+
+
 @dataclass
 class Lexicon:
     words: frozenset[bytes] = frozenset()
@@ -60,6 +102,14 @@ class Lexicon:
     insults: frozenset[bytes] = field(default_factory=lambda: frozenset(w.encode() for w in INSULTS.split()))
     second: frozenset[bytes] = field(default_factory=lambda: frozenset(w.encode() for w in SECOND_PERSON.split()))
 
+    @cached_property
+    def signs(self) -> WordSigns:
+        return WordSigns(self)
+
+    @cached_property
+    def concealed(self) -> Remembered:
+        return Remembered(self.conceals)
+
     def conceals(self, w: bytes) -> bool:
         """Whether signs and digits of ``w`` stand for letters of an insult or a word of the lexicon; a star is any one
         letter, or put in. Not where what is between the signs is such a word anyway."""
@@ -84,54 +134,37 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def features(text: bytes, lexicon: Lexicon) -> np.ndarray:
-    raw = _WORD.findall(text)
-    words = [w.lower() for w in raw]
-    n = len(words)
+    signs = lexicon.signs
+    is_a = np.fromiter(map(signs.__getitem__, _WORD.findall(text)), np.uint8)
+    n = len(is_a)
     out = np.zeros(len(FEATURES))
     if not n:
         out[11] = text.count(b"!")
         return out
-    hits, insult, lexical, stem, you = [], 0, 0, 0, []
-    lex, ins, second, stems = lexicon.words, lexicon.insults, lexicon.second, lexicon.stems
-    for k, w in enumerate(words):
-        hit = False
-        if w in second:
-            you.append(k)
-        if w in ins:
-            insult += 1
-            hit = True
-        if w in lex:
-            lexical += 1
-            hit = True
-        elif w[:4] in stems or w[:5] in stems or w[:6] in stems:
-            stem += 1
-            hit = True
-        if hit:
-            hits.append(k)
+    count = lambda bit: int(np.count_nonzero(is_a & bit))
+    insult, lexical, stem = count(INSULT), count(LEXICAL), count(STEM)
+    at, own = np.flatnonzero(is_a & SECOND), np.flatnonzero(is_a & (INSULT | LEXICAL | STEM))
     odd = 0
     for w in _SIGNED.findall(text.lower()):
-        if _SIGN.search(w):
-            concealed = lexicon.conceals(w)
-            insult += concealed
-            bare = w.strip(b"*!")
-            odd += concealed or bool(_SIGN.search(bare) and _HIDDEN.fullmatch(bare))
+        concealed = lexicon.concealed[w]
+        insult += concealed
+        bare = w.strip(b"*!")
+        odd += concealed or bool(_SIGN.search(bare) and _HIDDEN.fullmatch(bare))
     near = 0
-    if you and hits:
-        at, own = np.array(you), np.array(hits)
+    if len(at) and len(own):
         j = np.searchsorted(at, own)
         gap = np.minimum(np.abs(own - at[np.minimum(j, len(at) - 1)]), np.abs(own - at[np.maximum(j - 1, 0)]))
         near = int((gap <= 5).sum())
     best = 0
-    if hits:
-        own = np.array(hits)
+    if len(own):
         best = int((np.searchsorted(own, own + 50) - np.arange(len(own))).max())
     letters = len(text) - len(text.translate(None, _LETTERS + _LETTERS.upper()))
     upper = len(text) - len(text.translate(None, _LETTERS.upper()))
     marks = len(text) - len(text.translate(None, b"!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"))
     out[:] = (
-        np.log1p(n), insult, insult / n, lexical, lexical / n, stem, stem / n, near, len(you) / n,
-        sum(w.isupper() and len(w) > 1 for w in raw) / n, upper / max(1, letters), text.count(b"!") / n, text.count(b"?") / n, marks / n,
-        sum(w.isdigit() for w in words) / n, odd / n, sum(1 for w in words if _STRETCHED.search(w)) / n, best,
+        np.log1p(n), insult, insult / n, lexical, lexical / n, stem, stem / n, near, len(at) / n,
+        count(CAPS) / n, upper / max(1, letters), text.count(b"!") / n, text.count(b"?") / n, marks / n,
+        count(DIGITS) / n, odd / n, count(STRETCH) / n, best,
     )
     return out
 
