@@ -14,13 +14,19 @@ from tidemark.operators.lineage import cut
 def shared_reference_pairs(df: DataFrame, tx: str, ref: str, at: str, within: float | None = None) -> DataFrame:
     """tx_a, tx_b, shared_count, delta of transactions that share references (collisions); the earlier one is a.
 
-    A join on the reference; ties in time go by id. ``within`` bounds the difference of times.
+    A join on the reference; ties in time go by id. ``within`` bounds the difference of times: rows of a reference are then
+    dealt by time as well, and meet those of their own and the next stretch of it only.
     """
     rows = df.select(tx, ref, at).distinct()
     a = rows.select(F.col(tx).alias("tx_a"), F.col(ref).alias("_ref"), F.col(at).alias("_at_a"))
     b = rows.select(F.col(tx).alias("tx_b"), F.col(ref).alias("_ref"), F.col(at).alias("_at_b"))
     earlier = (F.col("_at_a") < F.col("_at_b")) | ((F.col("_at_a") == F.col("_at_b")) & (F.col("tx_a") < F.col("tx_b")))
-    met = a.join(b, "_ref").filter(earlier & (F.col("tx_a") != F.col("tx_b")))
+    on = ["_ref"]
+    if within:
+        stretch = lambda c: F.floor(F.col(c).cast("double") / (2 * within))
+        a = a.withColumn("_time", F.explode(F.array(stretch("_at_a"), stretch("_at_a") + 1)))
+        b, on = b.withColumn("_time", stretch("_at_b")), ["_ref", "_time"]
+    met = a.join(b, on).filter(earlier & (F.col("tx_a") != F.col("tx_b")))
     delta = F.col("_at_b").cast("double") - F.col("_at_a").cast("double")
     if within is not None:
         met = met.filter(delta <= within)
@@ -39,23 +45,59 @@ def range_neighbours(left: DataFrame, right: DataFrame, on: Sequence[str], left_
 
 def brackets(df: DataFrame, group: str, actor: str, at: str, row: str, reach: int) -> DataFrame:
     """For each row (the victim) and each other actor with rows on both sides of it in the group within ``reach``: the last
-    before and the first after. Columns: row, actor, before, after, span."""
-    victims = df.select(F.col(group), F.col(row).alias("victim"), F.col(actor).alias("_own"), F.col(at).alias("_v"))
-    legs = df.select(F.col(group), F.col(actor).alias("actor"), F.col(at).alias("_leg"), F.col(row).alias("_row"))
-    met = range_neighbours(victims, legs, [group], "_v", "_leg", reach).filter(F.col("actor") != F.col("_own"))
-    place, own = F.struct("_leg", "_row"), F.struct(F.col("_v").alias("_leg"), F.col("victim").alias("_row"))
-    sides = met.groupBy("victim", "actor").agg(F.max(F.when(place < own, place)).alias("b"), F.min(F.when(place > own, place)).alias("a"))
-    sides = sides.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
-    return sides.select("victim", "actor", F.col("b._row").alias("before"), F.col("a._row").alias("after"), (F.col("a._leg") - F.col("b._leg")).alias("span"))
+    before and the first after. Columns: victim, actor, before, after, span. ``row`` tells rows apart.
+
+    Rows of an actor that follow each other make a gap, and gaps are joined with the rows inside them, so only brackets leave
+    the join. No gap is wider than twice ``reach``: rows are cut to stretches of that width, and an actor's rows are put in
+    order within two stretches at a time.
+    """
+    width = max(1, 2 * reach)
+    rows = df.select(F.col(group).alias("_group"), F.col(actor).alias("actor"), F.struct(F.col(at).alias("at"), F.col(row).alias("row")).alias("p")).distinct()
+    rows = rows.filter("actor IS NOT NULL AND p.at IS NOT NULL").withColumn("_time", F.floor(F.col("p.at") / width))
+    both = rows.withColumn("_of", F.explode(F.array(F.col("_time"), F.col("_time") - 1)))
+    after = F.lead("p").over(W.partitionBy("_group", "actor", "_of").orderBy("p"))
+    gaps = both.withColumn("q", after).filter((F.col("_of") == F.col("_time")) & (F.col("q.at") - F.col("p.at") <= 2 * reach))
+    gaps = gaps.select("_group", "actor", "p", "q", F.explode(F.array_distinct(F.array(F.col("_time"), F.floor(F.col("q.at") / width)))).alias("_time"))
+    victims = rows.select("_group", "_time", F.col("actor").alias("_own"), F.col("p").alias("v"))
+    met = victims.join(gaps, ["_group", "_time"]).filter(
+        (F.col("actor") != F.col("_own")) & (F.col("v") > F.col("p")) & (F.col("v") < F.col("q")) & (F.col("v.at") - F.col("p.at") <= reach) & (F.col("q.at") - F.col("v.at") <= reach)
+    )
+    return met.select(F.col("v.row").alias("victim"), "actor", F.col("p.row").alias("before"), F.col("q.row").alias("after"), (F.col("q.at") - F.col("p.at")).alias("span"))
+
+
+#: Stretches of time that ``nearest`` deals a key's rows by.
+STRETCHES = 1_000
 
 
 def nearest(left: DataFrame, right: DataFrame, on: Sequence[str], left_at: str, right_at: str, tiebreak: str) -> DataFrame:
-    """Each left row with the right row of its key that is nearest in time; of equal ones the later, then the larger id."""
-    keep = [c for c in left.columns]
-    gap = F.abs(F.col(left_at).cast("double") - F.col(right_at).cast("double"))
-    met = left.join(right, list(on))
-    best = F.max_by(F.struct(right_at, tiebreak), F.struct(-gap, F.col(right_at), F.col(tiebreak))).alias("nearest")
-    return met.groupBy(*keep).agg(best)
+    """Each left row with the right row of its key that is nearest in time; of equal ones the later, then the larger id.
+    Rows without a time meet nothing, and left rows that meet nothing are left out.
+
+    No pairs are made: the last right row up to a left row and the first from it on are found by running values. A key's rows
+    are dealt by STRETCHES of time, and what the other stretches of a key hold is carried in as their first and last row.
+    """
+    on = list(on)
+    seen = right.filter(F.col(right_at).isNotNull()).groupBy(*on, right_at).agg(F.max(tiebreak).alias(tiebreak))
+    ends = F.broadcast(seen.agg(F.min(F.col(right_at).cast("double")).alias("_lo"), F.max(F.col(right_at).cast("double")).alias("_hi")))
+    part = (F.col("_at").cast("double") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-9))
+    time = F.greatest(F.lit(0), F.least(F.lit(STRETCHES - 1), F.floor(part * STRETCHES).cast("int")))
+    mine = left.filter(F.col(left_at).isNotNull()).select(*on, F.col(left_at).alias("_at"), F.struct(*left.columns).alias("_left"))
+    theirs = seen.select(*on, F.col(right_at).alias("_at"), F.struct(right_at, tiebreak).alias("_r"))
+    rows = mine.unionByName(theirs, allowMissingColumns=True).crossJoin(ends).withColumn("_time", time).drop("_lo", "_hi")
+    stretches = rows.groupBy(*on, "_time").agg(F.min("_r").alias("_first"), F.max("_r").alias("_last"))
+    w = W.partitionBy(*on)
+    carried = stretches.select(
+        *on, "_time", F.last("_last", True).over(w.orderBy("_time").rowsBetween(W.unboundedPreceding, -1)).alias("_before"),
+        F.last("_first", True).over(w.orderBy(F.desc("_time")).rowsBetween(W.unboundedPreceding, -1)).alias("_after"),
+    )
+    w = W.partitionBy(*on, "_time")
+    up = F.last("_r", True).over(w.orderBy("_at").rangeBetween(W.unboundedPreceding, W.currentRow))
+    down = F.last("_r", True).over(w.orderBy(F.desc("_at")).rangeBetween(W.unboundedPreceding, W.currentRow))
+    rows = rows.withColumns({"_up": up, "_down": down}).filter("_left IS NOT NULL").join(carried, [*on, "_time"])
+    rows = rows.withColumns({"_up": F.coalesce("_up", "_before"), "_down": F.coalesce("_down", "_after")})
+    gap = lambda c: F.abs(F.col("_at").cast("double") - F.col(f"{c}.{right_at}").cast("double"))
+    best = F.when(F.col("_up").isNull() | (gap("_down") <= gap("_up")), F.col("_down")).otherwise(F.col("_up"))
+    return rows.select("_left.*", best.alias("nearest")).filter("nearest IS NOT NULL")
 
 
 def cycles(edges: DataFrame, start: str = "src", end: str = "dst", at: str = "slot", hops: int = 6, reach: int = 86_400, rows_a_hop: int | None = None) -> DataFrame:
