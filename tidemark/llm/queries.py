@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, language, near_dup, packing, quality_fm, quality_rules, secrets, token_store, toxicity, warc_zip
+from tidemark.llm import decontaminate, hard_negatives, language, near_dup, packing, quality_fm, quality_rules, secrets, spelling, token_store, toxicity, warc_zip
 from tidemark.llm.base import table
 
 
@@ -48,6 +48,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.report(table(spark, sf_dir, "embeddings"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP9_SQL = rf"""
@@ -93,6 +101,43 @@ SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
 FROM f
 """
 
+# crc32 by its table of 256 remainders, over the bytes that hex() shows
+OP12_SQL = rf"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+runs AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+per AS (SELECT doc_id, run, count(*) AS k, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run),
+hashed AS (SELECT run, k, xor(4294967295, list_reduce(list_transform(range(length(x) // 2), lambda j: ('0x' || substr(x, 2 * j + 1, 2))::BIGINT),
+             lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT)) AS h FROM per, crc),
+named AS (SELECT k, CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed),
+v AS (SELECT word, sum(k)::BIGINT AS n FROM named WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cuts AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+pairs AS (SELECT DISTINCT a.word AS a, v.word AS b FROM cuts a JOIN v ON a.rest = v.word),
+near AS (SELECT a.word AS a, b.word AS b FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+         UNION ALL SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+best AS (SELECT a, count(*) AS n_near, arg_min(b, (-v.n, b)) AS b, max(v.n) AS bn FROM near JOIN v ON v.word = near.b GROUP BY a),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN bn >= 10 * v.n THEN b END AS form, CASE WHEN bn >= 10 * v.n THEN bn END AS form_n
+      FROM v LEFT JOIN best ON best.a = v.word),
+r AS (SELECT word, form AS at FROM f WHERE form IS NOT NULL UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.at WHERE f.form IS NOT NULL),
+last AS (SELECT r.word, r.at FROM r JOIN f ON f.word = r.at WHERE f.form IS NULL)
+SELECT f.word, n, n_near, form, form_n, coalesce(last.at, f.word) AS root FROM f LEFT JOIN last ON last.word = f.word
+"""
+
+OP13_SQL = """
+WITH r AS (SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS y,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.k AS ak, a.vec_id AS anchor_id, a.y AS ay, b.k AS bk, b.vec_id, b.y,
+             coalesce(list_sum(list_transform(range(1, least(len(a.v), len(b.v)) + 1), lambda i: a.v[i] * b.v[i])), 0)::BIGINT AS score
+      FROM r a JOIN r b ON a.k <> b.k WHERE a.vec_id % 50 = 0),
+p AS (SELECT ak, ay, anchor_id, bk AS pk, vec_id AS positive_id, score AS positive_score FROM s WHERE y = ay
+      QUALIFY row_number() OVER (PARTITION BY ak ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.ak, pk ORDER BY s.score DESC, s.vec_id)::INT AS rank
+      FROM p JOIN s ON s.ak = p.ak AND s.y <> p.ay AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_store": op2_token_store,
@@ -104,10 +149,14 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
     "op10_language": op10_language,
+    "op12_spelling": op12_spelling,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL = {
     "op4_near_dup": OP4_SQL,
     "op7_warc_zip": OP7_SQL,
     "op9_decontaminate": OP9_SQL,
+    "op12_spelling": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
