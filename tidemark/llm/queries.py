@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, hard_negatives, language, near_dup, packing, quality_fm, quality_rules, secrets, spelling, token_store, toxicity, warc_zip
+from tidemark.llm import decontaminate, group_join, hard_negatives, language, near_dup, packing, quality_fm, quality_rules, secrets, spelling, token_store, toxicity, warc_zip
 from tidemark.llm.base import table
 
 
@@ -48,6 +48,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(table(spark, sf_dir, "documents"))
 
 
+def op11_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -101,6 +105,9 @@ SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
 FROM f
 """
 
+# as op4's, with shingles of four words
+OP11_SQL = f"SELECT doc_id, n_shingles, component_id FROM ({OP4_SQL.replace('least(5, ', 'least(4, ')})"
+
 # crc32 by its table of 256 remainders, over the bytes that hex() shows
 OP12_SQL = rf"""
 WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
@@ -149,6 +156,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
     "op10_language": op10_language,
+    "op11_group_join": op11_group_join,
     "op12_spelling": op12_spelling,
     "op13_hard_negatives": op13_hard_negatives,
 }
@@ -157,6 +165,7 @@ ORACLE_SQL = {
     "op4_near_dup": OP4_SQL,
     "op7_warc_zip": OP7_SQL,
     "op9_decontaminate": OP9_SQL,
+    "op11_group_join": OP11_SQL,
     "op12_spelling": OP12_SQL,
     "op13_hard_negatives": OP13_SQL,
 }
