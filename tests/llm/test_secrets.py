@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -97,3 +98,28 @@ def test_entropy_spans_match_brute_force(spark):
     got = Counter((x.doc_id, *sorted(x.spans.split(","))) for x in S.report(d).collect())
     want = Counter((i, *sorted([x for x in brute(t)[4].split(",") if x] + entropy_spans(t) or [""])) for i, t in rows)
     assert got == want and sum(len(entropy_spans(t)) for _, t in rows) > 50
+
+
+def test_long_paths_and_many_matches(spark):
+    """Paths of 100,000 segments, 20,000 assignments and as many random strings: no recursion, no time squared."""
+    key = "x8Kq2LmZ7vRt4WbN9cYp3HdF6"
+    many = " ".join(f"token=abcdefg{k:05d}" for k in range(20_000))
+    rows = [(1, "see " + "a/" * 100_000 + "Zq9x8k7"), (2, "see " + "ab/" * 100_000 + "page12"), (3, many), (4, f"{key} " * 20_000), (5, "é" * 5000 + " token=abcdefghi " + "😀" * 9000 + key)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in S.report(d).collect()}
+    clean = {r.doc_id: r.text for r in S.redact(d).collect()}
+    assert time.time() - began < 60
+    assert (got[3].n_assign, got[3].base_sha256) == (20_000, brute(many)[3]) and clean[3] == " ".join([S.REDACTED] * 20_000)
+    assert got[2].spans == "" and clean[2] == rows[1][1]
+    assert got[4].spans.count("entropy") == 20_000 and clean[4] == f"{S.REDACTED} " * 20_000
+    assert clean[5] == "é" * 5000 + f" {S.REDACTED} " + "😀" * 9000 + S.REDACTED
+
+
+def test_allowed_paths(spark):
+    r = random.Random(2)
+    old = re.compile(r"^([A-Za-z]+[/_-])*[A-Za-z]*[0-9]{0,4}$")
+    strings = ["".join(r.choice(["ab", "Z", "/", "_", "-", "12", "7"]) for _ in range(r.randrange(9))) for _ in range(500)]
+    new = S.ALLOWED[S.ALLOWED.rindex("|^") + 1 :]
+    d = spark.createDataFrame([(s,) for s in strings], "s string")
+    assert [x.m for x in d.select(F.regexp_like("s", F.lit(new)).alias("m")).collect()] == [bool(old.search(s)) for s in strings]
