@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scoring as S
 from tidemark.functions import text as T
-from tidemark.operators import joins, stats, versions
+from tidemark.operators import joins, lineage, stats, versions
 from tidemark.plans import cluster, score, scorers
+from tidemark.sources import store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,13 +55,33 @@ b AS (SELECT l[floor(0.5 * len(l))::BIGINT + 1] AS p50, l[floor(0.99 * len(l))::
 s AS (SELECT orders.*, {_ORDER_SCORE} AS score FROM orders, b)"""
 
 
-def scored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with a score: their price between its exact median and 99th percentile."""
+def score_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job that scores orders: the price of each between the exact median and 99th percentile of all."""
     orders = t(spark, sf_dir, "orders")
     base = stats.exact_percentiles(orders, [], "o_totalprice", {"p50": 0.5, "p99": 0.99}).drop("n")
     return orders.crossJoin(F.broadcast(base)).withColumn("score", F.round(S.normalise(F.col("o_totalprice"), F.col("p50"), F.col("p99")) * 100, 2)).drop("p50", "p99")
 
 
+_STORES: dict[tuple[str, str], store.Store] = {}
+
+
+def score_store(spark: SparkSession, sf_dir: str) -> store.Store:
+    """Where the scores of the orders of ``sf_dir`` are kept: the first read of an application scores and writes them, by month, and
+    later ones read files only."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        kept = store.Store(spark, f"{lineage.shared_folder(spark)}/tidemark-scores-{uuid.uuid4().hex}", {"order_scores": store.Stored(None, ("o_orderkey",), None)})
+        kept.put("order_scores", score_orders(spark, sf_dir), 0, F.trunc("o_orderdate", "month"))
+        _STORES[key] = kept
+    return _STORES[key]
+
+
+def scored_orders(spark: SparkSession, sf_dir: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Stored scores of orders; of the months from ``since`` to ``until`` alone where they are given."""
+    month = lambda d: d and f"{d[:7]}-01"
+    return score_store(spark, sf_dir).read("order_scores", month(since), month(until))
+
+
 # --- versions ---------------------------------------------------------------------------------------------------------
 
 

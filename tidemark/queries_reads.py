@@ -11,9 +11,10 @@ from tidemark.queries import _BAND, _SCORED, money, query, scored_orders, t, tot
 _STORED = f"""{_SCORED}, st AS (SELECT o_orderkey, o_custkey, o_totalprice, score AS max_score, {_BAND.format('score')} AS risk_band, o_orderpriority AS max_class, o_orderdate AS analyzed_at, (o_orderkey % 4)::INT AS corroboration_count FROM s)"""
 
 
-def stored_scores(spark, sf_dir):
-    """Scores as a list reads them: key, score, band, dominant class and when it was analysed."""
-    return scored_orders(spark, sf_dir).select(
+def stored_scores(spark, sf_dir, since=None, until=None):
+    """Scores as a list reads them: key, score, band, dominant class and when it was analysed. Reads that have bounds open the
+    files of their months."""
+    return scored_orders(spark, sf_dir, since, until).select(
         "o_orderkey", "o_custkey", "o_totalprice", F.col("score").alias("max_score"), S.band(F.col("score")).alias("risk_band"), F.col("o_orderpriority").alias("max_class"),
         F.col("o_orderdate").alias("analyzed_at"), (F.col("o_orderkey") % 4).cast("int").alias("corroboration_count"),
     )
@@ -36,7 +37,7 @@ def score_filtered(spark, sf_dir):
     """All conditions of a list of scores at once, without archived keys."""
     cond = reads.score_filter(PRIORITIES, bands=("HIGH", "Critical"), cls="2-HIGH", min_score=65, corroboration=2, since=_ts("1996-01-01"), before=_ts("2000-01-01"))
     archived = t(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
-    return stored_scores(spark, sf_dir).filter(cond).join(archived, "o_custkey", "left_anti").select("o_orderkey", "max_score", "risk_band")
+    return stored_scores(spark, sf_dir, "1996-01-01", "1999-12-31").filter(cond).join(archived, "o_custkey", "left_anti").select("o_orderkey", "max_score", "risk_band")
 
 
 @query(
@@ -227,7 +228,7 @@ UNION ALL SELECT 'top', o_orderkey::VARCHAR, max_score FROM (SELECT * FROM w ORD
 )
 def period_report(spark, sf_dir):
     """A period's report: counts by band, archived contracts and the top five."""
-    window = stored_scores(spark, sf_dir).filter(reads.score_filter(PRIORITIES, since=_ts("1998-01-01"), before=_ts("1998-02-01")))
+    window = stored_scores(spark, sf_dir, "1998-01-01", "1998-01-31").filter(reads.score_filter(PRIORITIES, since=_ts("1998-01-01"), before=_ts("1998-02-01")))
     bands = window.groupBy(F.col("risk_band").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("n")).select(F.lit("band").alias("kind"), "name", "n")
     archived = t(spark, sf_dir, "customer").filter("c_acctbal < 0").agg(F.count(F.lit(1)).cast("double").alias("n")).select(F.lit("archived").alias("kind"), F.lit("customers").alias("name"), "n")
     top = reads.page(window, [F.desc("max_score"), "o_orderkey"], 5).select(F.lit("top").alias("kind"), F.col("o_orderkey").cast("string").alias("name"), F.col("max_score").alias("n"))
