@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import scoring as S
 from tidemark.functions import text as T
 from tidemark.operators import joins, lineage, stats, versions
-from tidemark.plans import cluster, score, scorers
+from tidemark.plans import baselines, cluster, score, scorers
 from tidemark.sources import store
+from tidemark.streaming import poll
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,20 +63,35 @@ def score_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.crossJoin(F.broadcast(base)).withColumn("score", F.round(S.normalise(F.col("o_totalprice"), F.col("p50"), F.col("p99")) * 100, 2)).drop("p50", "p99")
 
 
-_STORES: dict[tuple[str, str], store.Store] = {}
+_STORES: dict[tuple[str, str, str], store.Store] = {}
 
 
-def score_store(spark: SparkSession, sf_dir: str) -> store.Store:
-    """Where the scores of the orders of ``sf_dir`` are kept: the first read of an application scores and writes them, by month, and
-    later ones read files only."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def kept(spark: SparkSession, sf_dir: str, table: str, job: Callable[[store.Store], None]) -> store.Store:
+    """The store of a table of ``sf_dir``: the first read of an application has ``job`` write it, and later ones read files only."""
+    key = (spark.sparkContext.applicationId, sf_dir, table)
     if key not in _STORES:
-        kept = store.Store(spark, f"{lineage.shared_folder(spark)}/tidemark-scores-{uuid.uuid4().hex}", {"order_scores": store.Stored(None, ("o_orderkey",), None)})
-        kept.put("order_scores", score_orders(spark, sf_dir), 0, F.trunc("o_orderdate", "month"))
-        _STORES[key] = kept
+        there = store.Store(spark, f"{lineage.shared_folder(spark)}/tidemark-store-{uuid.uuid4().hex}", {"order_scores": store.Stored(None, ("o_orderkey",), None), "raw_payloads": store.Stored("network string, raw_data string", (), None)})
+        job(there)
+        _STORES[key] = there
     return _STORES[key]
 
 
+def score_store(spark: SparkSession, sf_dir: str) -> store.Store:
+    """Scores of orders, by month."""
+    return kept(spark, sf_dir, "order_scores", lambda s: s.put("order_scores", score_orders(spark, sf_dir), 0, F.trunc("o_orderdate", "month")))
+
+
+def price_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored baselines of line prices, of each supplier and of all."""
+
+    def job(there: store.Store) -> None:
+        lines, now = t(spark, sf_dir, "lineitem"), F.current_timestamp()
+        every = baselines.measured(lines, "n", "global", ["l_extendedprice"], now)
+        there.put("baselines", baselines.measured(lines, "n", "script", ["l_extendedprice"], now, "l_suppkey").unionByName(every), 0)
+
+    return kept(spark, sf_dir, "baselines", job).read("baselines")
+
+
 def scored_orders(spark: SparkSession, sf_dir: str, since: str | None = None, until: str | None = None) -> DataFrame:
     """Stored scores of orders; of the months from ``since`` to ``until`` alone where they are given."""
     month = lambda d: d and f"{d[:7]}-01"
@@ -409,10 +425,9 @@ FROM (SELECT s_suppkey, sc.*, coalesce(n >= 200 AND CASE WHEN sc.p50 <= 0 THEN s
 )
 def baseline_resolve(spark, sf_dir):
     """A scope's own baseline where it has samples enough and spreads, else the global one."""
-    lines = t(spark, sf_dir, "lineitem")
-    levels = {"p50": 0.5, "p99": 0.99}
-    own = stats.exact_percentiles(lines, ["l_suppkey"], "l_extendedprice", levels).select(F.col("l_suppkey").alias("s_suppkey"), F.col("p50").alias("a"), F.col("p99").alias("b"), "n")
-    every = stats.exact_percentiles(lines, [], "l_extendedprice", levels).select(F.col("p50").alias("g50"), F.col("p99").alias("g99"))
+    stored = price_baselines(spark, sf_dir)
+    own = stored.filter("scope_type = 'script'").select(F.col("scope_id").cast("long").alias("s_suppkey"), F.col("p50").alias("a"), F.col("p99").alias("b"), F.col("sample_count").alias("n"))
+    every = stored.filter("scope_type = 'global'").select(F.col("p50").alias("g50"), F.col("p99").alias("g99"))
     rows = t(spark, sf_dir, "supplier").select("s_suppkey").join(own, "s_suppkey", "left").crossJoin(F.broadcast(every))
     ok = F.coalesce((F.col("n") >= 200) & S.usable(F.col("a"), F.col("b")), F.lit(False))
     return rows.select("s_suppkey", F.when(ok, "scope").otherwise("global").alias("tier"), F.when(ok, F.col("a")).otherwise(F.col("g50")).alias("p50"), F.when(ok, F.col("b")).otherwise(F.col("g99")).alias("p99"))
@@ -420,7 +435,7 @@ def baseline_resolve(spark, sf_dir):
 
 @query(f"WITH {_BY_SUPPLIER} SELECT l_suppkey, least(p50, least(20000 + 0.25 * 40000, least(p99, 5 * 60000.0) / 1.1)) AS p50, least(p99, 5 * 60000.0) AS p99 FROM sc")
 def baseline_capped(spark, sf_dir):
-    own = stats.exact_percentiles(t(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_extendedprice", {"p50": 0.5, "p99": 0.99})
+    own = price_baselines(spark, sf_dir).filter("scope_type = 'script'").withColumn("l_suppkey", F.col("scope_id").cast("long"))
     low, top = S.capped(F.col("p50"), F.col("p99"), F.lit(20000.0), F.lit(60000.0))
     return own.select("l_suppkey", low.alias("p50"), top.alias("p99"))
 
@@ -440,6 +455,47 @@ def drift_hold(spark, sf_dir):
     return rows.select("user_id", F.coalesce(S.held(F.col("o50"), F.col("n50"), F.col("o99"), F.col("n99")), F.lit(False)).alias("held"))
 
 
+@query(
+    f"""WITH {_HALF.format('a', '<')}, {_HALF.format('b', '>=')}, x AS (SELECT user_id, a.l[floor(0.5 * len(a.l))::BIGINT + 1] AS o50, a.l[floor(0.99 * len(a.l))::BIGINT + 1] AS o99,
+b.l[floor(0.5 * len(b.l))::BIGINT + 1] AS n50, b.l[floor(0.99 * len(b.l))::BIGINT + 1] AS n99 FROM b JOIN a USING (user_id)),
+y AS (SELECT user_id, unnest([{{'axis': 'p50', 'o': o50, 'n': n50}}, {{'axis': 'p99', 'o': o99, 'n': n99}}]) AS e, o50, n50, o99, n99 FROM x),
+z AS (SELECT *, CASE WHEN e.o = 0 THEN e.n > 0 ELSE abs(e.n - e.o) / (abs(e.o) + 1e-9) > 0.5 END AS drifted,
+CASE WHEN o50 = 0 THEN n50 > 0 ELSE abs(n50 - o50) / (abs(o50) + 1e-9) > 0.5 END AND n50 > o50 AS h50, CASE WHEN o99 = 0 THEN n99 > 0 ELSE abs(n99 - o99) / (abs(o99) + 1e-9) > 0.5 END AND n99 > o99 AND o99 > 0 AS h99 FROM y)
+SELECT user_id::VARCHAR AS scope_id, e.axis AS axis, e.o AS old_value, e.n AS new_value, NOT (h50 OR h99) AS applied FROM z WHERE drifted"""
+)
+def drift_events(spark, sf_dir):
+    """What is logged as each user's values of the second half of a month are held against the stored ones of the first."""
+
+    def job(there: store.Store) -> None:
+        e = t(spark, sf_dir, "events")
+        for k, half in enumerate(("<", ">=")):
+            fresh = baselines.measured(e.filter(f"ts {half} timestamp_ntz'2024-01-15 00:00:00'"), "n", "user", ["value"], F.current_timestamp(), "user_id")
+            baselines.recompute(there, fresh, k)
+
+    return kept(spark, sf_dir, "baseline_drift_events", job).read("baseline_drift_events").select("scope_id", "axis", "old_value", "new_value", "applied")
+
+
+@query(
+    """WITH s AS (SELECT o_orderkey, round_even(100 * least(greatest((o_totalprice - 50000) / (400000.0 - 50000 + 1e-6), 0), 1), 2) AS score FROM orders)
+SELECT o_orderkey::VARCHAR AS tx_hash, score AS large_value, -1.0 AS phishing, score AS max_score FROM s"""
+)
+def polled_scores(spark, sf_dir):
+    """Scores as polls write them, in three batches."""
+    orders = t(spark, sf_dir, "orders")
+    txs = orders.select(F.lit("n").alias("network"), F.col("o_orderkey").cast("string").alias("tx_hash"), F.col("o_orderdate").cast("timestamp").alias("ingestion_timestamp"), F.trunc("o_orderdate", "year").alias("timestamp"), "o_totalprice")
+
+    def analyse(rows: DataFrame) -> DataFrame:
+        value = S.finalise(S.normalise(F.col("o_totalprice"), 50_000, 400_000))
+        return rows.select("network", "tx_hash", value.alias("large_value"), value.alias("max_score"))
+
+    def job(there: store.Store) -> None:
+        each = orders.count() // 3 + 1
+        # all rows are looked at each time, as the orders' dates aren't those of their arrival
+        poll.Poll(there, "n", lambda: txs, analyse, batch=each, rescan=0).drain(3)
+
+    return kept(spark, sf_dir, "tx_class_scores", job).read("tx_class_scores").select("tx_hash", "large_value", "phishing", "max_score")
+
+
 @query("SELECT p_partkey, CASE WHEN p_size >= 1 THEN least(greatest((p_retailprice - 950) / (1800.0 - 950 + 1e-6), 0), 1) END AS n, 1 - least(greatest((p_retailprice - 950) / (1800.0 - 950 + 1e-6), 0), 1) AS inverted, 0.0::DOUBLE AS flat FROM part")
 def normalise(spark, sf_dir):
     v = F.col("p_retailprice")
@@ -795,6 +851,11 @@ def order_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.lit("n").alias("network"), raw.alias("raw_data"))
 
 
+def stored_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``order_payloads`` as a raw store keeps them."""
+    return kept(spark, sf_dir, "raw_payloads", lambda s: s.put("raw_payloads", order_payloads(spark, sf_dir), 0)).read("raw_payloads")
+
+
 _COIN, _POWER = "trunc(l_extendedprice * 100)::BIGINT", "(l_quantity % 19)::INT"
 _HEAD = f"CASE WHEN {_COIN} < 24 THEN 1 WHEN {_COIN} < 256 THEN 2 WHEN {_COIN} < 65536 THEN 3 WHEN {_COIN} < 4294967296 THEN 5 ELSE 9 END"
 # a value is a list of coin and policies: 56 and 12 characters of hex text, one asset each
@@ -816,7 +877,7 @@ greatest(top, 0) AS max_score, CASE WHEN top < 0 THEN NULL WHEN large_value = to
 concat_ws(',', CASE WHEN fake_token >= 40 THEN 'fake_token' END, CASE WHEN large_value >= 40 THEN 'large_value' END, CASE WHEN phishing >= 40 THEN 'phishing' END) AS corroborating_classes FROM w"""
 )
 def payload_scores(spark, sf_dir):
-    return score.score(order_payloads(spark, sf_dir))
+    return score.score(stored_payloads(spark, sf_dir))
 
 
 @query(
@@ -824,7 +885,7 @@ def payload_scores(spark, sf_dir):
 0 AS datum_present, 0::BIGINT AS datum_bytes, value_bytes::BIGINT AS utxo_bytes, 0.0 AS datum_ratio FROM o WHERE l_orderkey IN (SELECT o_orderkey FROM orders)"""
 )
 def output_features(spark, sf_dir):
-    return score.output_features(score.parse(order_payloads(spark, sf_dir))).drop("datum_hex")
+    return score.output_features(score.parse(stored_payloads(spark, sf_dir))).drop("datum_hex")
 
 
 # --- clusters, which SQL can't express --------------------------------------------------------------------------------
