@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scoring as S
 from tidemark.functions import text as T
 from tidemark.operators import joins, lineage, stats, versions
-from tidemark.plans import baselines, cluster, score, scorers
+from tidemark.plans import baselines, cluster, detectors, score, scorers
 from tidemark.sources import store
 from tidemark.streaming import poll
 
@@ -98,6 +98,10 @@ def scored_orders(spark: SparkSession, sf_dir: str, since: str | None = None, un
     return score_store(spark, sf_dir).read("order_scores", month(since), month(until))
 
 
+def _n(v: str, p50: float, p99: float) -> str:
+    return f"least(greatest(({v} - {p50}) / ({p99} - {p50} + 1e-6), 0), 1)"
+
+
 # --- versions ---------------------------------------------------------------------------------------------------------
 
 
@@ -334,6 +338,65 @@ def cycle_hops(spark, sf_dir):
     return joins.cycles(edges, reach=200)
 
 
+def _paths_sql(hops: int, reach: int) -> str:
+    """As ``_cycles_sql``, but each address reached keeps the least (slot, path)."""
+    edge = "{'address': v, 'amount': a, 'slot': s}"
+    parts = [
+        _EDGES.replace("e AS (SELECT DISTINCT", "e AS (SELECT", 1).replace("AS s FROM", "AS s, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT AS a FROM", 1)[:-1] + " GROUP BY ALL)",
+        "e0 AS MATERIALIZED (SELECT * FROM e WHERE u <> v)", f"g AS (SELECT u AS o, v AS p, min({{'slot': s, 'path': [{edge}]}}) AS m FROM e0 GROUP BY ALL)",
+        "f1 AS MATERIALIZED (SELECT o, p, m.slot AS slot, m.path AS path, min(m.slot) OVER (PARTITION BY o) AS first FROM g)",
+    ]
+    for k in range(1, hops + 1):
+        parts.append(f"""m{k} AS MATERIALIZED (SELECT o, v AS p, min({{'slot': s, 'path': list_append(path, {edge})}}) AS m, min(first) AS first
+            FROM f{k} JOIN e0 ON e0.u = f{k}.p AND e0.s >= slot AND e0.s <= first + {reach} WHERE slot <= first + {reach} GROUP BY ALL)""")
+        parts.append(f"b{k} AS MATERIALIZED (SELECT o, m.path AS path FROM m{k} WHERE p = o)")
+        seen = " UNION ALL ".join(f"SELECT o, p FROM f{j}" for j in range(1, k + 1))
+        parts.append(f"f{k + 1} AS MATERIALIZED (SELECT o, p, m.slot AS slot, m.path AS path, first FROM m{k} WHERE p <> o AND o NOT IN (SELECT o FROM b{k}) AND (o, p) NOT IN ({seen}))")
+    return ",\n".join(parts) + ",\npaths AS (" + " UNION ALL ".join(f"SELECT o, path FROM b{k}" for k in range(1, hops + 1)) + ")"
+
+
+@query(
+    f"""WITH {_paths_sql(5, 120)},
+p AS (SELECT o, len(path) AS length, list_transform(path, lambda x: x.amount::DOUBLE) AS am, list_transform(path, lambda x: x.slot) AS sl, list_prepend(o, list_transform(path, lambda x: x.address)) AS who FROM paths),
+q AS (SELECT *, list_sum(am) / length AS mean, list_distinct(who) AS kinds, list_max(sl) - list_min(sl) AS span, list_filter(list_transform(range(2, length + 1), lambda i: sl[i] - sl[i - 1]), lambda d: d > 0) AS gaps FROM p),
+f AS (SELECT o AS origin, length::INT AS length, round(CASE WHEN mean > 0 THEN greatest(0, least(1, 1 - sqrt(list_sum(list_transform(am, lambda x: (x - mean) * (x - mean))) / (length - 1)) / mean)) ELSE 0 END, 4) AS sim,
+round(CASE WHEN am[1] > 0 THEN greatest(am[1] - am[-1], 0) / am[1] ELSE 1 END, 4) AS loss,
+round(-list_sum(list_transform(kinds, lambda k: len(list_filter(who, lambda x: x = k)) / len(who) * log2(len(list_filter(who, lambda x: x = k)) / len(who)))) / log2(len(kinds)), 4) AS ent,
+am[1] > 0 AND am[1] % 1000000 = 0 AS flag, round(CASE WHEN span > 0 THEN least(1, length / span) ELSE 1 END, 4) AS tmp, round(CASE WHEN len(gaps) > 0 THEN list_sum(gaps) / len(gaps) ELSE 100 END, 2) AS hop FROM q),
+x AS (SELECT *, {_n('sim', 0.7, 0.97)} AS a, {_n('(1 - ent)', 0.2, 0.7)} AS e, (flag::INT + {_n('tmp', 0.3, 0.85)}) / 2 AS x, {_n('(1 / hop)', 0.05, 0.5)} AS v FROM f),
+s AS (SELECT *, e + x + v < 0.1 AS bare, round_even(100 * least(greatest(0.3 * a + 0.2 * e + 0.1 * x + 0.1 * v, 0), 1), 2) AS raw FROM x)
+SELECT origin, length, sim AS similarity, loss AS net_loss, ent AS entropy, flag AS round_amount, tmp AS temporal, hop AS hop_slots,
+CASE WHEN length BETWEEN 3 AND 6 AND loss <= length * 0.02 * 4 AND NOT bare THEN CASE WHEN loss > 2 * 0.02 THEN least(raw, 59) ELSE raw END ELSE -1 END AS score FROM s"""
+)
+def cycle_scores(spark, sf_dir):
+    """Cycles of 2 to 6 edges over all of lineitem, with the path of each, scored."""
+    rows = t(spark, sf_dir, "lineitem").join(t(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(t(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    edges = rows.groupBy((F.col("s_nationkey") * 100 + F.col("l_partkey") % 90).alias("src"), (F.col("c_nationkey") * 100 + F.col("l_suppkey") % 90).alias("dst"), (F.unix_seconds(F.col("o_orderdate").cast("timestamp")) / 86400).cast("long").alias("slot"))
+    edges = edges.agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("amount"))
+    return detectors.circular_scores(edges, hops=5, reach=120).withColumn("score", F.col("circular.score")).drop("circular", "recurrence")
+
+
+@query(
+    f"""WITH e AS (SELECT event_id, user_id, event_type AS pool, (epoch_us(ts) // 60000000)::BIGINT AS slot, value::DECIMAL(28,6) AS rate, (event_id % 5 - 2) * round(value * 10000)::BIGINT AS net FROM events),
+r AS (SELECT *, sum(rate) OVER w::DOUBLE / nullif(count(rate) OVER w, 0) AS base FROM e WINDOW w AS (PARTITION BY pool ORDER BY slot RANGE BETWEEN 600 PRECEDING AND 1 PRECEDING)),
+k AS (SELECT *, abs(rate::DOUBLE - base) / nullif(base, 0) AS off FROM r),
+m AS (SELECT v.event_id AS victim, l.user_id AS actor, v.slot AS vs, l.slot, l.event_id AS leg FROM e v JOIN e l ON v.pool = l.pool AND abs(v.slot - l.slot) <= 60 AND v.user_id <> l.user_id WHERE l.user_id % 10 <> 0),
+b AS (SELECT victim, actor, vs, max((slot, leg)) FILTER ((slot, leg) < (vs, victim)) AS b, min((slot, leg)) FILTER ((slot, leg) > (vs, victim)) AS a FROM m GROUP BY ALL),
+g AS (SELECT victim, actor, vs, b[2] AS before, a[2] AS after, (a[1] - b[1])::BIGINT AS span, x.net + y.net AS profit, x.off AS impact FROM b JOIN k x ON x.event_id = b[2] JOIN k y ON y.event_id = a[2] WHERE a IS NOT NULL AND b IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY victim ORDER BY profit DESC, actor) = 1),
+h AS (SELECT victim, (SELECT count(*) FROM e WHERE e.user_id = g.actor AND e.slot < g.vs) AS n FROM g),
+f AS (SELECT g.*, n, coalesce(v.off, 0) AS rate, coalesce(g.impact, 0) AS imp FROM g JOIN h USING (victim) JOIN k v ON v.event_id = g.victim)
+SELECT victim, actor, before, after, span, profit::BIGINT AS profit, n AS count,
+CASE WHEN span <= 5 AND profit >= 200000 THEN round_even(100 * least(greatest(0.30 + 0.30 * {_n('rate', 0, 0.15)} + 0.20 * {_n('imp', 0, 0.05)} + 0.10 * {_n('profit', 0, 5e6)} + 0.10 * {_n('n', 0, 5)}, 0), 1), 2) ELSE -1 END AS score FROM f"""
+)
+def sandwich_economics(spark, sf_dir):
+    """Each victim's most profitable bracket, scored; every tenth user stands for a script."""
+    e = t(spark, sf_dir, "events")
+    slot, net = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 60), (F.col("event_id") % 5 - 2) * F.round(F.col("value") * 10_000).cast("long")
+    legs = e.select(F.col("event_id").alias("tx"), F.col("event_type").alias("pool"), F.col("user_id").alias("actor"), slot.alias("at"), net.alias("net"), F.col("value").cast("decimal(28,6)").cast("double").alias("rate"), (F.col("user_id") % 10 == 0).alias("is_script"))
+    return detectors.sandwich_scores(legs, 60, 600).withColumn("score", F.col("sandwich.score")).drop("sandwich", "rate_delta", "price_impact")
+
+
 @query("SELECT o_custkey AS address, o_orderkey AS tx FROM orders UNION SELECT l_suppkey + 1000000, l_orderkey FROM lineitem")
 def address_index(spark, sf_dir):
     rows = t(spark, sf_dir, "orders").join(t(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
@@ -751,10 +814,6 @@ def history_boundary(spark, sf_dir):
 # --- scorers over columns at hand -------------------------------------------------------------------------------------
 
 
-def _n(v: str, p50: float, p99: float) -> str:
-    return f"least(greatest(({v} - {p50}) / ({p99} - {p50} + 1e-6), 0), 1)"
-
-
 def _scored(spark: SparkSession, sf_dir: str, features: dict[str, str], scorer) -> DataFrame:
     rows = t(spark, sf_dir, "part").select("p_partkey", *[F.expr(x).alias(k) for k, x in features.items()])
     return rows.select("p_partkey", scorer({k: F.col(k) for k in features}).alias("r")).select("p_partkey", F.col("r.score").alias("score"))
