@@ -90,6 +90,34 @@ def test_block_stream_is_idempotent_and_rolls_back(spark, tmp_path):
     assert now() == ["t1", "t2"]
 
 
+def test_a_poisoned_payload_is_kept_and_the_others_are_written(spark, tmp_path):
+    tx = lambda i: json.dumps({"id": i, "inputs": [], "outputs": [{"address": "addr1qx", "value": {"lovelace": 3}}], "fee": 1})
+    events = [{"direction": "forward", "network": "n", "slot": k, "block_hash": f"h{k}", "height": k, "ts": "2024-01-01T00:00:00Z", "txs": [tx(f"t{k}-{j}") for j in range(5)]} for k in range(6)]
+    events[2]["txs"][3], events[4]["txs"][0] = tx("poison1"), tx("poison2")
+    events[5]["txs"].append("{broken")
+    block(spark, tmp_path, "a.json", events)
+    root = str(tmp_path / "out")
+
+    def features(txs, *more):
+        wrong = F.when(F.col("tx_hash").startswith("poison"), F.raise_error(F.concat(F.lit("bad "), "tx_hash")))
+        return ledger.features_of(txs, *more).withColumn("ada", F.coalesce(wrong.cast("double"), F.col("ada")))
+
+    rows = spark.read.schema(ledger.EVENT).json(str(tmp_path / "in"))
+    for _ in range(2):
+        ledger.ingest(spark, None, root, features=features)(rows, 0)
+        assert spark.read.parquet(f"{root}/transactions").count() == 30
+        found = {r.tx_hash for r in spark.read.parquet(f"{root}/utxo_features").collect()}
+        assert len(found) == 28 and not any(x.startswith("poison") for x in found)
+        failed = sorted((json.loads(r.raw_data)["id"] if r.raw_data != "{broken" else "", r.reason) for r in spark.read.parquet(f"{root}/failed").collect())
+        assert [x for x, _ in failed] == ["", "poison1", "poison2"] and "bad poison1" in failed[1][1]
+
+
+def test_the_middle_of_unequal_keys_always_parts_them(spark):
+    d = spark.createDataFrame([(-5,), (7,), (8,)], "k long")
+    bad = ledger.poisoned(d, lambda rows: rows.withColumn("x", F.when(F.col("k") != 7, F.raise_error(F.lit("no")))), "k")
+    assert sorted(r.k for r in bad.collect()) == [-5, 8] and ledger.poisoned(d, lambda rows: rows, "k") is None
+
+
 def collect_stream(df, name, n):
     q = df.writeStream.format("memory").queryName(name).outputMode("append").start()
     until = time.time() + 120

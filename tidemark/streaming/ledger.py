@@ -1,6 +1,6 @@
 """Streams of blocks and pending transactions.
 
-Writes are appends that may be repeated; reads take newest rows (``operators.versions``), so a replayed batch changes
+Writes are batches that may be repeated, and reads take newest rows (``operators.versions``), so a replayed batch changes
 nothing. Rollbacks are rows of a log that reads apply. Nothing is dropped for being late.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.plans.score import output_features, parse, quarantine
+from tidemark.plans.score import parse, quarantine, with_outputs
 
 EVENT = "direction string, network string, slot long, block_hash string, height long, ts timestamp, txs array<string>"
 TTL_SECONDS = 7200
@@ -23,26 +23,62 @@ COLLIDES = "ref string, tx_a string, tx_b string, at double, delta double"
 LIFE = "tx_id string, status string, first_seen timestamp, confirmed_at timestamp, latency_ms long"
 
 
-def ingest(spark: SparkSession, source: DataFrame, root: str, now=F.current_timestamp) -> Callable[[DataFrame, int], None]:
+def poisoned(rows: DataFrame, work: Callable[[DataFrame], DataFrame], key: str) -> DataFrame | None:
+    """``key``, reason of the rows for which ``work`` fails, None where there are none. The range of the keys (hashes) is halved as long as a part
+    fails, so that a faulty row among n costs about log2(n) runs."""
+    spark, found, parts = rows.sparkSession, [], [rows]
+    while parts:
+        part = parts.pop()
+        try:
+            work(part).write.format("noop").mode("overwrite").save()
+        except Exception as e:  # noqa: BLE001  whatever a payload's features fail with, the others go on
+            lo, hi = part.agg(F.min(key), F.max(key)).first()
+            if lo == hi:
+                found.append((lo, str(e).strip().splitlines()[0][:300]))
+            else:
+                mid = (lo + hi) // 2
+                parts += [part.filter(F.col(key) <= mid), part.filter(F.col(key) > mid)]
+    return spark.createDataFrame(found, f"{key} long, reason string") if found else None
+
+
+def features_of(txs: DataFrame, *more: str) -> DataFrame:
+    """A row for each output with what the output scorers read, beside ``more`` columns of its transaction; a payload is read once."""
+    return with_outputs(txs).select("network", "tx_hash", *more, F.explode("outs").alias("o")).select("network", "tx_hash", *more, "o.*").drop("names")
+
+
+def ingest(spark: SparkSession, source: DataFrame, root: str, now=F.current_timestamp, features=features_of) -> Callable[[DataFrame, int], None]:
     """The ``foreachBatch`` step of a block stream with columns EVENT: writes transactions, inputs, outputs, features,
-    addresses, parse failures and rollbacks below ``root``. The raw payloads go first, the rollback log last."""
+    addresses, parse failures and rollbacks below ``root``, each batch to folders of its own that a replay replaces. The raw payloads go first,
+    the rollback log last. A payload whose features fail is written whole but for them, with the reason among the failures."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            put = lambda df, name: df.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{root}/{name}")
+
+            def put(df: DataFrame, name: str) -> None:
+                df.write.mode("overwrite").parquet(f"{root}/{name}/batch_id={batch_id}")
+
             forward = batch.filter("direction = 'forward'").select("network", "slot", "block_hash", "height", "ts", F.posexplode_outer("txs").alias("block_index", "raw_data"))
-            forward = forward.filter("raw_data IS NOT NULL").withColumn("ingestion_timestamp", now())
+            forward = forward.filter("raw_data IS NOT NULL").withColumn("ingestion_timestamp", now()).withColumn("_k", F.xxhash64("network", "slot", "block_index", "raw_data"))
             put(forward.select("network", "slot", "block_index", "raw_data", "ingestion_timestamp"), "raw")
             txs = parse(forward)
-            put(quarantine(txs).select("network", "slot", "raw_data"), "failed")
+            failed = quarantine(txs).select("network", "slot", "raw_data", F.lit("payload can't be read").alias("reason"))
             txs = txs.filter("tx_hash IS NOT NULL")
             head = ["network", "tx_hash", "slot", "ingestion_timestamp"]
             put(txs.select(*head, "height", "block_hash", "block_index", "ts", "fee", "input_count", "output_count", "total_output_value", "script_valid"), "transactions")
             put(txs.select(*head, F.posexplode("inputs").alias("input_index", "i")).select(*head, "input_index", "i.*"), "transaction_inputs")
             put(txs.select(*head, F.explode("outputs").alias("o")).select(*head, "o.output_index", "o.address", "o.amount", "o.is_collateral"), "transaction_outputs")
             put(txs.select(*head, F.explode("addresses").alias("address")), "address_transactions")
-            put(output_features(txs).join(txs.select("network", "tx_hash", "slot", "ingestion_timestamp"), ["network", "tx_hash"]), "utxo_features")
+            try:
+                put(features(txs, "slot", "ingestion_timestamp"), "utxo_features")
+            except Exception:  # noqa: BLE001  the payloads at fault are sought, the others' features written
+                bad = poisoned(forward, lambda rows: features(parse(rows), "slot", "ingestion_timestamp"), "_k")
+                if bad is None:
+                    raise
+                bad = F.broadcast(bad)  # as many rows as faults were met one by one
+                put(features(parse(forward.join(bad.select("_k"), "_k", "left_anti")), "slot", "ingestion_timestamp"), "utxo_features")
+                failed = failed.unionByName(forward.join(bad, "_k").select("network", "slot", "raw_data", "reason"))
+            put(failed, "failed")
             put(batch.filter("direction = 'backward'").select("network", "slot", now().alias("at")), "rollbacks")
         finally:
             batch.unpersist()
