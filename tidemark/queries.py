@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scoring as S
 from tidemark.functions import text as T
 from tidemark.operators import joins, lineage, stats, versions
-from tidemark.plans import baselines, cluster, detectors, score, scorers
+from tidemark.plans import baselines, cluster, detectors, frozen, score, scorers
 from tidemark.sources import store
 from tidemark.streaming import poll
 
@@ -955,3 +955,16 @@ def contract_outliers(spark, sf_dir):
     """Clusters and outliers of each segment's most recent customers."""
     rows = t(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("nation"))
     return cluster.outliers(cluster.recent(rows, "c_mktsegment", [F.desc("c_custkey")]), "c_mktsegment", "c_custkey", ["c_acctbal", "nation"], eps=0.3)
+
+
+@query()
+def frozen_verdicts(spark, sf_dir):
+    """A model fitted on the clusters of each segment's oldest customers, and all customers held against it. Clusters with the customers of
+    least balance hand a verdict on."""
+    rows = t(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("nation"))
+    oldest = cluster.recent(rows, "c_mktsegment", ["c_custkey"])
+    judged = cluster.outliers(oldest, "c_mktsegment", "c_custkey", ["c_acctbal", "nation"], eps=0.3).select("c_mktsegment", "c_custkey", "cluster")
+    train = lineage.cut(oldest.join(judged, ["c_mktsegment", "c_custkey"]))
+    poor = train.filter("cluster >= 0").groupBy("c_mktsegment", "cluster").agg(F.avg("c_acctbal").alias("_b")).groupBy("c_mktsegment").agg(F.min_by("cluster", "_b").alias("cluster"))
+    model = frozen.fit(train, "c_mktsegment", "cluster", ["c_acctbal", "nation"], poor.withColumn("verdict", F.lit("malicious")))
+    return frozen.classify(rows, model, "c_mktsegment", "c_custkey", ["c_acctbal", "nation"])
