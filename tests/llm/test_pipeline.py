@@ -32,3 +32,26 @@ def test_every_stage_against_a_plain_version(spark):
             assert {r.doc_id for r in after} == {r.doc_id for r in before} and max(r.offset + r.length for r in after) <= 2048
         docs = out
     assert C.run(spark, SF).count() == docs.count()
+
+
+def test_odd_rows_go_through_the_chain(spark, tmp_path):
+    """Null and empty texts, null ids, repeated rows and extra columns with the names that stages use."""
+    for name in ("labels", "benchmark"):
+        C.table(spark, SF, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = C.table(spark, SF, "documents")
+    first = docs.filter("length(text) > 200").orderBy("doc_id").first()
+    odd = [(90_001, None), (90_002, ""), (90_003, " \n "), (None, "a text without an id that nothing else resembles"), (90_004, "see " + "a/" * 20_000 + "Zq9x8k7"), (90_005, "the very same row"), (90_005, "the very same row"), (90_006, "token=abcdefghij0123")]
+    rows = docs.unionByName(spark.createDataFrame([(i, t, "en", "odd", len(t or "")) for i, t in odd], "doc_id long, text string, lang string, source string, n_chars long").select([C.toxicity.F.col(c).cast(k) for c, k in docs.dtypes]))
+    extra = {c: C.toxicity.F.lit(7) for c in ("key", "id", "t", "score", "_gone", "_spans", "_cut", "component_id")}
+    rows.withColumns(extra).write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = C.run(spark, str(tmp_path)).collect()
+    own = {}
+    for p in pieces:
+        own.setdefault(p.doc_id, []).append(p)
+    assert {90_001, 90_002, 90_003, None, 90_004, 90_005, 90_006} <= set(own) and first.doc_id is not None
+    assert [p.length for p in own[90_001]] == [1] and len(own[90_005]) == 2
+    assert max(p.offset + p.length for p in pieces) <= 2048
+    rows.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/none/documents.parquet")
+    for name in ("labels", "benchmark"):
+        C.table(spark, SF, name).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert C.run(spark, f"{tmp_path}/none").count() == 0
