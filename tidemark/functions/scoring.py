@@ -32,11 +32,11 @@ def normalise_inverted(v: Column, p50, p99) -> Column:
     return F.when(_c(p99) <= _c(p50), 0.0).otherwise(1.0 - normalise(v, p50, p99))
 
 
-def band(score: Column) -> Column:
+def band(score: Column, bands: Sequence[tuple[str, float]] = BANDS, moderate_above: float = MODERATE_ABOVE) -> Column:
     out = F
-    for name, least in BANDS:
+    for name, least in bands:
         out = out.when(score >= least, name)
-    return out.when(score > MODERATE_ABOVE, "Moderate").otherwise("Informational")
+    return out.when(score > moderate_above, "Moderate").otherwise("Informational")
 
 
 def finalise(raw: Column) -> Column:
