@@ -148,15 +148,18 @@ def attacker_history(spark, sf_dir):
 
 
 @query(
-    """WITH p AS (SELECT event_id AS a, (event_id + 7) % 10000 AS b, value, ts FROM events WHERE event_type = 'purchase'),
-x AS (SELECT a AS tx, b AS counterpart, value, ts FROM p UNION ALL SELECT b, a, value, ts FROM p)
-SELECT tx, arg_min(counterpart, (ts, counterpart)) AS counterpart FROM x GROUP BY tx"""
+    """WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS at FROM events WHERE event_type = 'purchase'),
+p AS (SELECT a.event_id AS a, b.event_id AS b, b.at - a.at AS d FROM e a JOIN e b ON a.user_id = b.user_id AND (a.at, a.event_id) < (b.at, b.event_id) AND b.at - a.at <= 86400000000),
+x AS (SELECT a AS tx, b AS counterpart, d FROM p UNION ALL SELECT b, a, d FROM p)
+SELECT e.event_id AS tx, arg_min(counterpart, (d, counterpart)) AS counterpart, coalesce(min(d), -1)::DOUBLE AS delta FROM e LEFT JOIN x ON x.tx = e.event_id GROUP BY ALL"""
 )
 def collision_enrich(spark, sf_dir):
-    """Either side of a collision gets the other as its counterpart; of several the first."""
-    p = t(spark, sf_dir, "events").filter("event_type = 'purchase'").select(F.col("event_id").alias("a"), ((F.col("event_id") + 7) % 10000).alias("b"), "ts")
-    sides = p.select(F.inline(F.array(F.struct(F.col("a").alias("tx"), F.col("b").alias("counterpart"), "ts"), F.struct(F.col("b").alias("tx"), F.col("a").alias("counterpart"), "ts"))))
-    return sides.groupBy("tx").agg(F.min_by("counterpart", F.struct("ts", "counterpart")).alias("counterpart"))
+    """Each transaction with the one that collides with it within a day and is nearest in time, from either side; null and -1 where none does."""
+    e = t(spark, sf_dir, "events").filter("event_type = 'purchase'").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    pairs = joins.shared_reference_pairs(e, "event_id", "user_id", "at", 86_400_000_000).select("tx_a", "tx_b", "delta")
+    sides = pairs.select(F.inline(F.array(F.struct(F.col("tx_a").alias("tx"), F.col("tx_b").alias("counterpart"), "delta"), F.struct(F.col("tx_b").alias("tx"), F.col("tx_a").alias("counterpart"), "delta"))))
+    first = sides.groupBy("tx").agg(F.min(F.struct("delta", "counterpart")).alias("m"))
+    return e.select(F.col("event_id").alias("tx")).join(first, "tx", "left").select("tx", F.col("m.counterpart").alias("counterpart"), F.coalesce("m.delta", F.lit(-1.0)).alias("delta"))
 
 
 @query(
