@@ -743,8 +743,7 @@ def verdict_resolve(spark, sf_dir):
     explicit = F.when(F.col("c_acctbal") < -500, "malicious")
     labels = spark.createDataFrame([("BUILDING", "benign")], "c_mktsegment string, label string")
     votes = (F.col("c_acctbal") > 9000).cast("int") + (F.col("c_nationkey") > 20).cast("int")
-    inherited = F.when(F.col("c_nationkey") != 0, F.col("label"))
-    return c.join(F.broadcast(labels), "c_mktsegment", "left").select("c_custkey", F.coalesce(explicit, inherited, F.when(votes >= 2, "anomaly"), F.lit("normal")).alias("verdict"))
+    return c.join(F.broadcast(labels), "c_mktsegment", "left").select("c_custkey", cluster.verdict(explicit, F.col("label"), F.when(F.col("c_nationkey") == 0, -1).otherwise(F.col("c_nationkey")), votes).alias("verdict"))
 
 
 @query(

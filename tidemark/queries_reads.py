@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scoring as S
 from tidemark.operators import joins, reads, stats, versions
+from tidemark.plans import reports
 from tidemark.queries import _BAND, _SCORED, money, query, scored_orders, t, total
 
 _STORED = f"""{_SCORED}, st AS (SELECT o_orderkey, o_custkey, o_totalprice, score AS max_score, {_BAND.format('score')} AS risk_band, o_orderpriority AS max_class, o_orderdate AS analyzed_at, (o_orderkey % 4)::INT AS corroboration_count FROM s)"""
@@ -419,3 +420,61 @@ def bracket_profit(spark, sf_dir):
     """What an actor took out of a pool less what it put in."""
     signed = F.when(F.col("l_linestatus") == "O", F.col("l_extendedprice")).otherwise(-F.col("l_extendedprice"))
     return t(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum(money(signed)).cast("double").alias("profit"))
+
+
+# --- reports ----------------------------------------------------------------------------------------------------------
+
+_CLASS_COLUMNS = tuple(f"p{i}" for i in range(1, 6))
+_SINCE, _BEFORE = "1997-01-01", "1997-07-01"
+_INSIDE = f">= TIMESTAMP '{_SINCE}' AND {{0}} < TIMESTAMP '{_BEFORE}'"
+_in = lambda c: f"{c} {_INSIDE.format(c)}"
+
+
+def _report_scores(spark, sf_dir):
+    """Stored scores as a report reads them: a class by its number, and the columns of an export."""
+    rows = stored_scores(spark, sf_dir, _SINCE, _BEFORE).withColumn("max_class", F.concat(F.lit("p"), F.substring("max_class", 1, 1)))
+    own = {c: F.when(F.col("max_class") == c, F.col("max_score")) for c in _CLASS_COLUMNS}
+    subs = F.create_map("max_class", F.create_map(F.lit("band"), F.col("corroboration_count")))
+    return rows.withColumns(own | {"tx_hash": F.col("o_orderkey").cast("string"), "network": F.lit("n"), "fee": F.col("o_custkey"), "output_count": F.col("corroboration_count"), "sub_scores": subs, "analysis_version": F.lit("1")})
+
+
+def _report_verdicts(spark, sf_dir):
+    """Lines as a transaction's verdicts by contract: scored when they were shipped, published when they were received."""
+    score_ = (F.col("l_quantity") * 2).cast("double")
+    return t(spark, sf_dir, "lineitem").select(F.concat(F.lit("t"), F.col("l_orderkey").cast("string")).alias("tx_hash"), score_.alias("score"), S.band(score_).alias("risk_band"), F.col("l_shipdate").alias("scored_at"), (F.col("l_shipdate") + F.make_dt_interval(F.col("l_linenumber").cast("int") * 10)).alias("published_at"))
+
+
+_REPORT = f"""{_STORED}, w AS (SELECT *, 'p' || max_class[1] AS cls FROM st WHERE {_in('analyzed_at')}),
+v AS (SELECT 't' || l_orderkey AS tx_hash, (l_quantity * 2)::DOUBLE AS score, l_shipdate::TIMESTAMP AS scored_at, l_shipdate::TIMESTAMP + to_days(10 * l_linenumber::INT) AS published_at FROM lineitem),
+vb AS (SELECT tx_hash, max(score) AS score, arg_min(scored_at, (-score, scored_at)) AS scored_at, bool_or({_in('published_at')}) AS p FROM v GROUP BY ALL),
+x AS (SELECT *, {_BAND.format('score')} AS risk_band FROM vb WHERE (p OR ({_in('scored_at')})) AND score >= 60)"""
+
+
+@query(
+    f"""WITH {_REPORT}, a AS (SELECT count(*) AS n FROM orders WHERE {_in('o_orderdate')} AND o_orderkey % 10 = 0)
+SELECT 'total' AS section, 'scored' AS name, count(*) AS n FROM w UNION ALL SELECT 'band', band, count(w.o_orderkey) FROM (SELECT unnest(['Informational', 'Moderate', 'High', 'Critical']) AS band) LEFT JOIN w ON risk_band = band GROUP BY band
+UNION ALL SELECT 'class', c, count(w.o_orderkey) FILTER (c <> 'p5') FROM (SELECT unnest(['p1', 'p2', 'p3', 'p4', 'p5']) AS c) LEFT JOIN w ON cls = c AND risk_band IN ('High', 'Critical') GROUP BY c
+UNION ALL SELECT 'class', 'contract_anomaly', count(*) FROM x UNION ALL SELECT 'archived', 'false_positives', n FROM a"""
+)
+def report_summary(spark, sf_dir):
+    """Half a year's report of bands from High on, without one class, with the findings of contracts among the classes."""
+    archived = t(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0").select(F.col("o_orderdate").alias("archived_at"))
+    return reports.summary(_report_scores(spark, sf_dir), archived, _report_verdicts(spark, sf_dir), _ts(_SINCE), _ts(_BEFORE), _CLASS_COLUMNS, "High", (*_CLASS_COLUMNS[:4], reports.ANOMALY))
+
+
+@query(
+    f"""WITH {_REPORT} SELECT * FROM (SELECT o_orderkey::VARCHAR AS tx_hash, cls AS attack_class, max_score AS risk_score, risk_band, analyzed_at::TIMESTAMP AS at FROM w WHERE risk_band IN ('High', 'Critical')
+UNION ALL SELECT tx_hash, 'contract_anomaly', score, risk_band, scored_at FROM x) ORDER BY risk_score DESC, attack_class, tx_hash LIMIT 200"""
+)
+def report_worst(spark, sf_dir):
+    rows = reports.worst(_report_scores(spark, sf_dir), _report_verdicts(spark, sf_dir), _ts(_SINCE), _ts(_BEFORE), "High", most=200)
+    return rows.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query(
+    f"""WITH {_REPORT} SELECT o_orderkey::VARCHAR AS tx_hash, analyzed_at, 'n' AS network, cls AS max_class, max_score, risk_band, o_custkey / 1000000 AS fee_ada, corroboration_count AS output_count,
+{', '.join(f"CASE WHEN cls = '{c}' THEN max_score ELSE -1 END AS score_{c}" for c in _CLASS_COLUMNS)}, '{{"band":' || corroboration_count || '}}' AS sub_scores, '1' AS analysis_version FROM w WHERE risk_band IN ('Moderate', 'High', 'Critical')"""
+)
+def report_export(spark, sf_dir):
+    """The rows of a report's table, for every alert of the period."""
+    return reports.export(_report_scores(spark, sf_dir), _ts(_SINCE), _ts(_BEFORE), _CLASS_COLUMNS)

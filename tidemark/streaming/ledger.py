@@ -43,7 +43,7 @@ def poisoned(rows: DataFrame, work: Callable[[DataFrame], DataFrame], key: str)
 
 def features_of(txs: DataFrame, *more: str) -> DataFrame:
     """A row for each output with what the output scorers read, beside ``more`` columns of its transaction; a payload is read once."""
-    return with_outputs(txs).select("network", "tx_hash", *more, F.explode("outs").alias("o")).select("network", "tx_hash", *more, "o.*").drop("names")
+    return with_outputs(txs).select("network", "tx_hash", *more, F.explode("outs").alias("o")).select("network", "tx_hash", *more, "o.*").drop("names", "owners")
 
 
 def ingest(spark: SparkSession, source: DataFrame, root: str, now=F.current_timestamp, features=features_of) -> Callable[[DataFrame, int], None]:
@@ -66,7 +66,7 @@ def ingest(spark: SparkSession, source: DataFrame, root: str, now=F.current_time
             txs = txs.filter("tx_hash IS NOT NULL")
             head = ["network", "tx_hash", "slot", "ingestion_timestamp"]
             put(txs.select(*head, "height", "block_hash", "block_index", "ts", "fee", "input_count", "output_count", "total_output_value", "script_valid"), "transactions")
-            put(txs.select(*head, F.posexplode("inputs").alias("input_index", "i")).select(*head, "input_index", "i.*"), "transaction_inputs")
+            put(txs.select(*head, F.posexplode("inputs").alias("input_index", "i")).select(*head, "input_index", "i.*").drop("assets"), "transaction_inputs")
             put(txs.select(*head, F.explode("outputs").alias("o")).select(*head, "o.output_index", "o.address", "o.amount", "o.is_collateral"), "transaction_outputs")
             put(txs.select(*head, F.explode("addresses").alias("address")), "address_transactions")
             try:
