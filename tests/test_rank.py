@@ -19,3 +19,19 @@ def test_rank_share_against_counting(spark, keys):
 
 def test_rank_share_of_nothing(spark):
     assert stats.rank_percentile(spark.createDataFrame([], "v double"), "v", "r").count() == 0
+
+
+def test_robust_scale_by_interpolated_quartiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 4, 7, 1000):
+        v = np.round(rng.normal(size=n), 2)
+        rows = [(i, float(x), 5.0, None) for i, x in enumerate(v)] + [(-1, None, 5.0, None)]
+        d = spark.createDataFrame(rows, "i int, a double, b double, c double")
+        got = {r.i: r for r in stats.robust_scale(d, ["a", "b", "c"]).collect()}
+        low, mid, high = np.quantile(v, [0.25, 0.5, 0.75])
+        spread = high - low or 1.0
+        assert len(got) == n + 1 and got[-1].a is None and all(r.b == 0 and r.c is None for r in got.values())
+        assert all(abs(got[i].a - (x - mid) / spread) < 1e-9 for i, x in enumerate(v))
+    assert stats.robust_scale(d.limit(0), ["a"]).count() == 0

@@ -32,3 +32,18 @@ def test_earlier_rows_of_an_actor(spark):
         assert r.n == sum(h for _, a, t, h in rows if a == r.actor and t < r["at"])
     for r in joins.earlier_in_range(d, "actor", "at", 3).collect():
         assert r.earlier == sum(a == r.actor and r["at"] - 3 <= t <= r["at"] for _, a, t, _ in rows)
+
+
+def test_earlier_rows_of_a_busy_actor(spark):
+    """Nearly all rows are of one actor, over a time that takes many stretches."""
+    rows = [(k, 0 if k % 10 else 1, (k * k) % 50_021, k % 3 == 0) for k in range(3_000)] + [(-1, 0, None, True)]
+    d = spark.createDataFrame(rows, "id int, actor int, at long, hit boolean")
+    times = {a: sorted((t, h) for _, b, t, h in rows if b == a and t is not None) for a in (0, 1)}
+    seen = joins.seen_before(d, "actor", "at", d.hit, "n").collect()
+    assert len(seen) == 3_000
+    for r in seen[::37]:
+        assert r.n == sum(h for t, h in times[r.actor] if t < r["at"])
+    near = joins.earlier_in_range(d, "actor", "at", 400).collect()
+    assert len(near) == 3_000
+    for r in near[::37]:
+        assert r.earlier == sum(r["at"] - 400 <= t <= r["at"] for t, _ in times[r.actor])

@@ -65,10 +65,18 @@ def brackets(df: DataFrame, group: str, actor: str, at: str, row: str, reach: in
     return met.select(F.col("v.row").alias("victim"), "actor", F.col("p.row").alias("before"), F.col("q.row").alias("after"), (F.col("q.at") - F.col("p.at")).alias("span"))
 
 
-#: Stretches of time that ``nearest`` deals a key's rows by.
+#: Stretches of time that a key's rows are dealt by.
 STRETCHES = 1_000
 
 
+def _stretched(rows: DataFrame, at: str, of: DataFrame, of_at: str) -> DataFrame:
+    """``rows`` with ``_time``: which of STRETCHES equal parts of the time that ``of`` spans a row is in, the first or last for one beyond."""
+    ends = F.broadcast(of.agg(F.min(F.col(of_at).cast("double")).alias("_lo"), F.max(F.col(of_at).cast("double")).alias("_hi")))
+    part = (F.col(at).cast("double") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-9))
+    time = F.greatest(F.lit(0), F.least(F.lit(STRETCHES - 1), F.floor(part * STRETCHES).cast("int")))
+    return rows.crossJoin(ends).withColumn("_time", time).drop("_lo", "_hi")
+
+
 def nearest(left: DataFrame, right: DataFrame, on: Sequence[str], left_at: str, right_at: str, tiebreak: str) -> DataFrame:
     """Each left row with the right row of its key that is nearest in time; of equal ones the later, then the larger id.
     Rows without a time meet nothing, and left rows that meet nothing are left out.
@@ -78,12 +86,9 @@ def nearest(left: DataFrame, right: DataFrame, on: Sequence[str], left_at: str,
     """
     on = list(on)
     seen = right.filter(F.col(right_at).isNotNull()).groupBy(*on, right_at).agg(F.max(tiebreak).alias(tiebreak))
-    ends = F.broadcast(seen.agg(F.min(F.col(right_at).cast("double")).alias("_lo"), F.max(F.col(right_at).cast("double")).alias("_hi")))
-    part = (F.col("_at").cast("double") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-9))
-    time = F.greatest(F.lit(0), F.least(F.lit(STRETCHES - 1), F.floor(part * STRETCHES).cast("int")))
     mine = left.filter(F.col(left_at).isNotNull()).select(*on, F.col(left_at).alias("_at"), F.struct(*left.columns).alias("_left"))
     theirs = seen.select(*on, F.col(right_at).alias("_at"), F.struct(right_at, tiebreak).alias("_r"))
-    rows = mine.unionByName(theirs, allowMissingColumns=True).crossJoin(ends).withColumn("_time", time).drop("_lo", "_hi")
+    rows = _stretched(mine.unionByName(theirs, allowMissingColumns=True), "_at", seen, right_at)
     stretches = rows.groupBy(*on, "_time").agg(F.min("_r").alias("_first"), F.max("_r").alias("_last"))
     w = W.partitionBy(*on)
     carried = stretches.select(
@@ -155,18 +160,22 @@ def last_matching_rule(df: DataFrame, rules: DataFrame, match: Column, key: str)
 def seen_before(df: DataFrame, actor: str, at: str, counts: Column, name: str) -> DataFrame:
     """Each row with how many rows of its actor that ``counts`` marks are earlier in time (not at the same time).
 
-    Rows of an instant are added up first; a running sum over an actor's instants then takes the place of pairs. Rows
-    without an actor or time are left out.
+    Rows of an instant are added up first; a running sum over an actor's instants then takes the place of pairs. An actor's instants
+    are dealt by STRETCHES of time, whose sums are carried from one to the next. Rows without an actor or time are left out.
     """
-    instants = df.groupBy(actor, at).agg(F.count_if(counts).alias("_n"))
-    w = W.partitionBy(actor).orderBy(at).rowsBetween(W.unboundedPreceding, -1)
-    before = instants.select(actor, at, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias(name))
+    instants = _stretched(df.filter(F.col(at).isNotNull()).groupBy(actor, at).agg(F.count_if(counts).alias("_n")), at, df, at)
+    earlier = lambda c, keys, order: F.coalesce(F.sum(c).over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    carried = instants.groupBy(actor, "_time").agg(F.sum("_n").alias("_n")).select(actor, "_time", earlier("_n", [actor], "_time").alias("_before"))
+    within = instants.select(actor, at, "_time", earlier("_n", [actor, "_time"], at).alias("_within"))
+    before = within.join(carried, [actor, "_time"]).select(actor, at, (F.col("_before") + F.col("_within")).alias(name))
     return df.join(before, [actor, at])
 
 
 def earlier_in_range(df: DataFrame, actor: str, at: str, reach: int) -> DataFrame:
-    """Each row with ``earlier``: rows of its actor, itself included, at most ``reach`` before it or at the same time. Rows
-    without an actor or time are left out."""
-    instants = df.groupBy(actor, at).agg(F.count(F.lit(1)).alias("_n"))
-    w = W.partitionBy(actor).orderBy(at).rangeBetween(-reach, W.currentRow)
-    return df.join(instants.select(actor, at, F.sum("_n").over(w).alias("earlier")), [actor, at])
+    """Each row with ``earlier``: rows of its actor, itself included, at most ``reach`` before it or at the same time. An actor's
+    instants are put in order within two stretches of ``reach`` at once. Rows without an actor or time are left out."""
+    instants = df.groupBy(actor, at).agg(F.count(F.lit(1)).alias("_n")).withColumn("_time", F.floor(F.col(at) / max(1, reach)))
+    both = instants.withColumn("_of", F.explode(F.array(F.col("_time"), F.col("_time") + 1)))
+    w = W.partitionBy(actor, "_of").orderBy(at).rangeBetween(-reach, W.currentRow)
+    counted = both.withColumn("earlier", F.sum("_n").over(w)).filter("_of = _time")
+    return df.join(counted.select(actor, at, "earlier"), [actor, at])

@@ -19,14 +19,18 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, levels: di
     ranges tell in which the places lie, and only distinct values of those ranges are ranked. Null values don't count; a
     key with none has no row.
     """
-    keys = list(keys)
+    return _at_places(df, keys, value, {name: F.floor(F.lit(level) * F.col("n")) for name, level in levels.items()})
+
+
+def _at_places(df: DataFrame, keys: Sequence[str], value: str, place: dict[str, Column]) -> DataFrame:
+    """keys, for each name the element at its place (by ``n``, how many there are) of a key's sorted values, and n."""
+    keys, levels = list(keys), list(place)
     rows = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_k"))
     cuts = rows.groupBy(*keys).agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 1000).alias("_cuts"), F.sum("_k").alias("n"))
     rows = rows.join(cuts, keys) if keys else rows.crossJoin(F.broadcast(cuts))
     rows = rows.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     counts = rows.groupBy(*keys, "_range").agg(F.sum("_k").alias("_in"), F.max("n").alias("n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_in").over(W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    place = {name: F.floor(F.lit(level) * F.col("n")) for name, level in levels.items()}
     holds = [(place[n] >= F.col("_before")) & (place[n] < F.col("_before") + F.col("_in")) for n in levels]
     wanted = before.filter(F.array_contains(F.array(*holds), True)).select(*keys, "_range", "_before")
     some = rows.join(wanted, [*keys, "_range"])
@@ -63,13 +67,23 @@ def rank_percentile(df: DataFrame, value: str, out: str, keys: Sequence[str] = (
 
 
 def robust_scale(df: DataFrame, values: Sequence[str]) -> DataFrame:
-    """Each value less its median, over its interquartile range (1 where that is 0); exact, interpolated quartiles."""
-    q = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{c}") for c in values])
-    out = df.crossJoin(F.broadcast(q))
+    """Each value less its median, over its interquartile range (1 where that is 0); exact, interpolated quartiles. Nulls don't count
+    and stay null; a column of nulls alone stays as it is."""
+    out = df
     for c in values:
-        spread = F.col(f"_q_{c}")[2] - F.col(f"_q_{c}")[0]
-        out = out.withColumn(c, (F.col(c) - F.col(f"_q_{c}")[1]) / F.when(spread == 0, 1.0).otherwise(spread))
-    return out.drop(*[f"_q_{c}" for c in values])
+        q = F.broadcast(quartiles(df, c))  # one row
+        spread = F.col("_q3") - F.col("_q1")
+        out = out.crossJoin(q).withColumn(c, (F.col(c) - F.col("_q2")) / F.when(spread == 0, 1.0).otherwise(spread)).drop("_q1", "_q2", "_q3")
+    return out
+
+
+def quartiles(df: DataFrame, value: str) -> DataFrame:
+    """_q1, _q2, _q3 of a column in one row, null where it has no values: interpolated between the two elements around a quarter's
+    place, which are sought as those of ``exact_percentiles``."""
+    at = {i: (F.col("n") - 1) * (i / 4) for i in (1, 2, 3)}
+    rows = df.select(F.col(value).cast("double").alias("_v"))
+    found = _at_places(rows, [], "_v", {f"_{end}{i}": cut(at[i]) for i in at for end, cut in (("low", F.floor), ("high", F.ceil))})
+    return found.select(*[(F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * (at[i] - F.floor(at[i]))).alias(f"_q{i}") for i in at])
 
 
 def entropy(df: DataFrame, keys: Sequence[str], symbol: str) -> DataFrame:
