@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 
+from tidemark.llm import base
 from tidemark.llm import quality_rules as Q
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -48,3 +49,21 @@ def test_rules_reject_low_quality_and_keep_the_rest(spark):
     assert 1 <= len(rules) <= 6 and "CASE WHEN" in str(Q.verdict(rules))
     got = {x.doc_id: x.kept for x in stats.select("doc_id", Q.verdict(rules).alias("kept")).collect()}
     assert np.mean([got[k] == bool(truth[k]) for k in range(1, 900, 2)]) > 0.98
+
+
+def test_labelled_rows_lie_in_few_files_however_many_partitions_the_join_has(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(60)) + "!" * (k % 7), "en") for k in range(600)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(600)], "doc_id long, quality int")
+    stats = Q.statistics(docs).cache()
+    own = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before, since = {k: spark.conf.get(k) for k in own}, len(base.WRITTEN)
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        Q.learn(stats, labels)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    tables = [spark.read.parquet(p) for p in base.WRITTEN[since:]]
+    assert len(tables) == 2 and all(t.filter("word_count >= 50").count() == t.count() > 0 for t in tables)
+    assert all(len(t.inputFiles()) <= Q.SAMPLE_PARTS for t in tables)

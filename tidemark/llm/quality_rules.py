@@ -19,12 +19,19 @@ from tidemark.llm.base import materialise
 
 #: Labelled rows that rules are learned from at most, chosen by a hash of the id.
 SAMPLE = 200_000
+#: Files and tasks that the labelled rows are dealt to, 25,000 rows each at most: every pass of the learner reads them again, and as
+#: many files as the join has partitions would each start processes of their own on the executors (Hadoop sets modes of files by one).
+SAMPLE_PARTS = 8
 RULES, LITERALS = 10, 3
 QUANTILES = (0.002, 0.01, 0.03, 0.06, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.94, 0.97, 0.99, 0.998)
 PRECISION = 0.9
 SUPPORT = 4
 
 _SPACE, _WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]+"
+#: Characters that are counted by taking all others away, which leaves one string a text and not one a character.
+_COUNTED = {
+    "n_space": r"\x20\x09-\x0D", "n_symbols": "#*$%&|<>", "capitals": "A-Z", "exclaims": "!", "bars": "|", "digits": "0-9", "stops": ".,;:?",
+}
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RATES = (
     "symbol_rate", "dup_line_rate", "repeat_rate", "distinct_rate", "word_length", "capital_rate", "exclaim_rate", "bar_rate",
@@ -43,7 +50,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.filter(F.split(text, _SPACE + "+"), lambda w: w != "").alias("w"),
         F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(_WORD))).alias("lines"),
         F.length(text).alias("size"),
-        *[F.regexp_count(text, F.lit(p)).cast("long").alias(n) for n, p in (("n_space", _SPACE), ("n_symbols", "[#*$%&|<>]"), ("capitals", "[A-Z]"), ("exclaims", "!"), ("bars", r"\|"), ("digits", "[0-9]"), ("stops", "[.,;:?]"))],
+        *[F.length(F.regexp_replace(text, f"[^{c}]+", "")).cast("long").alias(n) for n, c in _COUNTED.items()],
     )
     n = F.size("w").cast("long")
     grams = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)))
@@ -140,7 +147,7 @@ def learn(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rul
     ids = labels.select("doc_id", F.col("quality").cast("int").alias("q")).dropna().groupBy("doc_id").agg(F.max("q").alias("q"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = stats.filter(~base_failed()).join(ids, "doc_id").select(*RATES, (F.col("q") <= 0).cast("long").alias("low"), (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) > 0).alias("grow"))
-    rows = materialise(rows, "labelled")
+    rows = materialise(rows.repartition(SAMPLE_PARTS), "labelled")
     cuts = [F.percentile_approx(F.when(F.col("low") == c, F.col(f)), list(QUANTILES), 2000).alias(f"{f}_{c}") for f in RATES for c in (0, 1)]
     found = rows.agg(*cuts).first()
     thresholds = {f: sorted({float(x) for c in (0, 1) for x in found[f"{f}_{c}"] or []}) for f in RATES}
