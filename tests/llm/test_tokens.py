@@ -30,3 +30,31 @@ def test_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_PIECES", 10)
     for k in range(60):
         same(f"word{k} some other text {k}")
+
+
+def test_new_pieces_of_many_texts_go_to_the_library_together(monkeypatch):
+    r = random.Random(9)
+    odd = [" ", "\n", "\t", "\xa0", "\x1c", "　", "'s", "-x", "#", "é", "文", "😀", "0٣", "<|endoftext|>", "\r\n"]
+    word = lambda: "".join(r.choice("abcdeé") for _ in range(8))
+    texts = ["".join(r.choice((" ", "\n", ". ")) + word() for _ in range(40)) for _ in range(50)]
+    e = tokens.Encoder(tokens.tokenizer_path())
+    asked, library = [], e.tokenizer
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+        def encode_batch_fast(self, some, **more):
+            asked.extend(some)
+            return library.encode_batch_fast(some, **more)
+
+    monkeypatch.setattr(e, "tokenizer", Counted())
+    got = list(e.encode_all(iter(texts)))
+    # 2,000 words of their own: not a call a text, nor one for each word that begins a line
+    assert len(asked) < 40
+    texts += ["".join(r.choice(odd) for _ in range(r.randrange(30))) for _ in range(500)] + [""]
+    got = list(e.encode_all(texts))
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+    monkeypatch.setattr(tokens, "TOGETHER", 64)
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 50)
+    assert list(e.encode_all(texts)) == got and [e.encode(t) for t in texts] == got

@@ -158,7 +158,7 @@ def _writer(path: str, tokenizer: str, end_id: int | None):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer).encode_all
         fs, root = file_system(path)
         name = uuid.uuid4().hex  # a task that runs twice leaves a file that no manifest names
         end = b"" if end_id is None else np.array([end_id], "<u2").tobytes()
@@ -172,10 +172,9 @@ def _writer(path: str, tokenizer: str, end_id: int | None):
             key = batch.column(0)
             null.append(key.is_null().to_numpy(zero_copy_only=False))
             ids.append(key.fill_null(0).to_numpy())
-            for t in batch.column(1):
-                got = encode(t.as_py() or "") + end
-                out.write(got)
-                lengths.append(len(got) // 2)
+            for got in encode(t.as_py() or "" for t in batch.column(1)):
+                out.write(got + end)
+                lengths.append(len(got + end) // 2)
         if out is None:
             return
         out.close()

@@ -11,11 +11,14 @@ from __future__ import annotations
 import functools
 import os
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 #: Pieces remembered; beyond them a new memory begins, into which the last one's pieces move as they are met again.
 CACHE_PIECES = 200_000
+#: Characters of texts whose new pieces are encoded together, and pieces to a call.
+TOGETHER, GLUED = 1 << 17, 256
 
 _SPACE = "\t-\r \x85\xa0  -     　"
 _PIECE = re.compile(
@@ -47,40 +50,66 @@ class Encoder:
         self.memory: dict[str, bytes] = {}
         self.last: dict[str, bytes] = {}
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encodes new pieces, many in one call: a piece that begins with a space can follow any other that ends in a non-space."""
-        glued = [p for p in pieces if p[0] == " " and len(p) > 1]
-        alone = [p for p in pieces if not (p[0] == " " and len(p) > 1)]
+    def _learn(self, pieces: list[str], to: dict[str, bytes]) -> None:
+        """Encodes new pieces into ``to``, many in one call. A piece that begins with a space can follow any other that ends in a
+        non-space; one that begins with a non-space can follow a line end, which is a token of its own there."""
+        glued, lines, alone = [], [], []
+        for p in pieces:
+            (lines if not p[0].isspace() else glued if p[0] == " " and len(p) > 1 else alone).append(p)
+        self._learn_glued(glued, "", to)
+        self._learn_glued(lines, "\n", to)
         for p, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
-            self.memory[p] = np.array(e.ids, "<u2").tobytes()
-        for a in range(0, len(glued), 256):
-            some = glued[a : a + 256]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u2")
+            to[p] = np.array(e.ids, "<u2").tobytes()
+
+    def _learn_glued(self, pieces: list[str], before: str, to: dict[str, bytes]) -> None:
+        """Encodes pieces one after another, ``before`` (a token of its own or nothing) in front of each."""
+        groups = [pieces[a : a + GLUED] for a in range(0, len(pieces), GLUED)]
+        texts = [before + before.join(g) for g in groups]
+        skip = len(before)
+        for some, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u2")
             ends = np.cumsum(self.width[ids])
-            want = np.cumsum([len(p.encode()) for p in some])
+            want = np.cumsum([(len(p) if p.isascii() else len(p.encode())) + skip for p in some])
             cuts = np.searchsorted(ends, want)
-            if ends[-1] != want[-1] or not np.array_equal(ends[cuts], want):
+            first = np.concatenate([[0], cuts[:-1] + 1])
+            if ends[-1] != want[-1] or not np.array_equal(ends[cuts], want) or (skip and not (self.width[ids[first]] == skip).all()):
                 for p in some:
-                    self.memory[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u2").tobytes()
+                    to[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u2").tobytes()
                 continue
-            first = 0
-            for p, c in zip(some, cuts.tolist()):
-                self.memory[p] = ids[first : c + 1].tobytes()
-                first = c + 1
+            raw = ids.tobytes()
+            to.update(zip(some, [raw[a:b] for a, b in zip((2 * (first + skip)).tolist(), (2 * cuts + 2).tolist())]))
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian 16-bit integers. A special token's string is ordinary text."""
-        pieces = _PIECE.findall(text)
-        got = list(map(self.memory.get, pieces))
-        if None in got:
-            new = [p for p, g in zip(pieces, got) if g is None]
-            if len(self.memory) > CACHE_PIECES:
-                self.last, self.memory, new = self.memory, {}, pieces
-            new = list(dict.fromkeys(new))
-            self.memory |= {p: self.last[p] for p in new if p in self.last}
-            self._learn([p for p in new if p not in self.memory])
-            got = [self.memory[p] for p in pieces]
-        return b"".join(got)
+        return self._encode_run([text])[0]
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """``encode`` of each text in turn. The new pieces of TOGETHER characters of texts are encoded together."""
+        run, size = [], 0
+        for text in texts:
+            run.append(text)
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self._encode_run(run)
+                run, size = [], 0
+        yield from self._encode_run(run)
+
+    def _encode_run(self, texts: list[str]) -> list[bytes]:
+        if len(self.memory) > CACHE_PIECES:
+            self.last, self.memory = self.memory, {}
+        found = list(map(_PIECE.findall, texts))
+        pieces = set().union(*found)
+        own = dict(zip(pieces, map(self.memory.get, pieces)))  # small enough for the processor's own memory
+        if new := [p for p, ids in own.items() if ids is None]:
+            fresh = {}
+            for p in new:
+                if (ids := self.last.get(p)) is not None:
+                    fresh[p] = ids
+            self._learn([p for p in new if p not in fresh] if fresh else new, fresh)
+            own.update(fresh)
+            self.memory.update(fresh)
+        ids_of = own.__getitem__
+        return [b"".join(map(ids_of, x)) for x in found]
 
 
 @functools.cache
