@@ -150,3 +150,20 @@ def test_sequences_hold_the_ids(spark):
     p = P.pack(d, capacity=50, keep_ids=True)
     for r in P.sequences(p).collect():
         assert len(r.ids) == 2 * r.length <= 100
+
+
+def test_texts_of_a_batch_are_encoded_together(monkeypatch):
+    import pyarrow as pa
+    import pyspark
+
+    class Some:
+        def encode_all(self, texts):
+            held = list(texts)
+            return (np.array([len(held), *map(ord, t)], "<u2").tobytes() for t in held)
+
+    monkeypatch.setattr(P, "encoder", lambda path: Some())
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": lambda self: 0})()))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([7, None, 9]), "text": ["ab", None, "x"]})
+    (got,) = P._cutter("", 0, 4, True)(iter([batch]))
+    assert got.column("doc_id").to_pylist() == [7, None, 9]
+    assert [np.frombuffer(x, "<u2").tolist() for x in got.column("ids").to_pylist()] == [[3, 97, 98, 0], [3, 0], [3, 120, 0]]

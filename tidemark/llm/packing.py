@@ -180,12 +180,12 @@ def _cutter(tokenizer: str, end_id: int, capacity: int, keep_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part = encoder(tokenizer).encode, TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer).encode_all, TaskContext.get().partitionId()
         end, seen = np.array([end_id], "<u2").tobytes(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             cols: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "rank", "ids")}
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(encode(text.as_py() or "") + end, "<u2")
+            for doc_id, got in zip(batch.column(0).to_pylist(), encode(t.as_py() or "" for t in batch.column(1))):
+                ids = np.frombuffer(got + end, "<u2")
                 first = (len(ids) - 1) % capacity + 1
                 for k, a in enumerate([0, *range(first, len(ids), capacity)]):
                     own = ids[a : first if k == 0 else a + capacity]
