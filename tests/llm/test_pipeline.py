@@ -1,8 +1,11 @@
+import pyarrow as pa
+import pytest
+
 import corpus_pipeline as C
 from tests.llm import test_decontaminate as bench
 from tests.llm import test_near_dup as near
 from tests.llm import test_secrets as secret
-from tidemark.llm import toxicity
+from tidemark.llm import near_dup, packing, tokens, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,3 +58,46 @@ def test_odd_rows_go_through_the_chain(spark, tmp_path):
     for name in ("labels", "benchmark"):
         C.table(spark, SF, name).write.parquet(f"{tmp_path}/none/{name}.parquet")
     assert C.run(spark, f"{tmp_path}/none").count() == 0
+
+
+@pytest.mark.parametrize("stage", [f for name, f in C.STAGES if name != "secrets"])
+def test_stages_hand_small_batches_to_python(spark, stage, monkeypatch):
+    """By rows and by bytes; a size that is smaller already stays."""
+    for module, name in ((C.toxicity, "reject"), (C.near_dup, "keep_first"), (C.decontaminate, "decontaminate"), (C.packing, "pack")):
+        monkeypatch.setattr(module, name, lambda docs, *_: docs)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows]), "size": pa.array([b.nbytes])})
+
+    docs = C.table(spark, SF, "documents")
+    few = spark.range(0, 5_000, 1, 1)
+    long = few.limit(400).selectExpr("repeat('x', 100000) s")
+    with C.own_batches(spark):
+        spark.conf.set(C.ROWS[0], 10_000)
+        spark.conf.set(C.BYTES[0], 1 << 26)
+        stage(spark, docs, SF)
+        met = few.mapInArrow(sizes, "n long, size long").collect()
+        assert max(r.n for r in met) <= 1000 and sum(r.n for r in met) == 5_000
+        met = long.mapInArrow(sizes, "n long, size long").collect()
+        assert max(r.size for r in met) < 10 << 20 and sum(r.n for r in met) == 400
+        spark.conf.set(C.ROWS[0], 70)
+        stage(spark, docs, SF)
+        assert max(r.n for r in few.mapInArrow(sizes, "n long, size long").collect()) == 70
+
+
+def test_sizes_of_batches_are_put_back(spark):
+    was = [spark.conf.get(key) for key, _ in (C.ROWS, C.BYTES)]
+    C.run(spark, SF)
+    assert [spark.conf.get(key) for key, _ in (C.ROWS, C.BYTES)] == was
+
+
+def test_a_worker_lets_go_of_the_encoder():
+    """What packing remembers of a corpus doesn't stay in a worker that goes on to another stage."""
+    docs = pa.RecordBatch.from_pydict({"doc_id": pa.array([1]), "text": pa.array([b"a few words of a text"])})
+    terms = pa.RecordBatch.from_pydict({"half": pa.array([0]), "y": pa.array([1]), "text": docs.column(1)})
+    for work, batch in ((near_dup._sign, docs), (toxicity._terms, terms)):
+        tokens.encoder(packing.tokenizer_path()).encode("some more words")
+        assert tokens.encoder.cache_info().currsize == 1
+        assert sum(b.num_rows for b in work(iter([batch]))) > 0
+        assert tokens.encoder.cache_info().currsize == 0

@@ -116,3 +116,8 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """The process's encoder for a tokenizer: tasks that follow each other in a worker share its memory."""
     return Encoder(path)
+
+
+def forget() -> None:
+    """Lets go of the process's encoders. Spark's workers outlive a stage, so work of another kind begins with this."""
+    encoder.cache_clear()

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.base import CACHE_WORDS, crc_mod, free_name, labelled_sample, materialise, utf8
+from tidemark.llm.tokens import forget
 
 #: Labelled rows that the model is fitted on at most.
 SAMPLE = 24_000
@@ -183,6 +184,7 @@ def learn_lexicon(counts: DataFrame, pos: Column, neg: Column, positives: int, n
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words and stems of the documents of a task, by half and label."""
+    forget()
     counts: dict[bytes, list[int]] = {}
 
     def emit() -> pa.RecordBatch:
@@ -342,6 +344,7 @@ def annotate(docs: DataFrame, model: Model) -> tuple[DataFrame, str]:
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget()
         m = held.value
         for texts in batches:
             x = np.array([features(t.as_py() or b"", m.lexicon) for t in texts]).reshape(-1, len(FEATURES))
