@@ -1,6 +1,8 @@
+import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import stats
 
@@ -35,3 +37,19 @@ def test_robust_scale_by_interpolated_quartiles(spark):
         assert len(got) == n + 1 and got[-1].a is None and all(r.b == 0 and r.c is None for r in got.values())
         assert all(abs(got[i].a - (x - mid) / spread) < 1e-9 for i, x in enumerate(v))
     assert stats.robust_scale(d.limit(0), ["a"]).count() == 0
+
+
+def test_percentiles_whose_ranges_are_cut_anew_each_time(spark, monkeypatch):
+    """Approximate quantiles differ with the order in which executors' parts arrive. Here they differ each time they are worked out."""
+    drawn = F.udf(lambda _: sorted(random.random() * 1000 for _ in range(7)), "array<double>").asNondeterministic()
+    monkeypatch.setattr(stats.F, "percentile_approx", lambda v, *_: drawn(F.count(v)))
+    r = random.Random(2)
+    rows = [(k, float(r.randrange(1000))) for k in ("a", "b", None) for _ in range(500)] + [("c", 1.0)]
+    d = spark.createDataFrame(rows, "k string, v double")
+    for whole in (100, 100_000):
+        monkeypatch.setattr(stats, "WHOLE", whole, raising=False)
+        got = {x.k: (x.p50, x.p99, x.n) for x in stats.exact_percentiles(d, ["k"], "v", {"p50": 0.5, "p99": 0.99}).collect()}
+        assert set(got) == {"a", "b", "c", None}
+        for k, found in got.items():
+            v = sorted(x for q, x in rows if q == k)
+            assert found == (v[math.floor(0.5 * len(v))], v[math.floor(0.99 * len(v))], len(v))

@@ -8,36 +8,60 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Ranges that a key's values are cut to when its percentiles are sought.
-RANGES = 64
+from tidemark.operators.lineage import cut
+
+#: Ranges that the values of a key with more than WHOLE rows are cut to when its percentiles are sought.
+RANGES, WHOLE = 64, 100_000
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, levels: dict[str, float]) -> DataFrame:
     """keys, a column for each level, and n: the element at place floor(level * n), from 0, of a key's sorted values.
 
-    Nothing is interpolated. A key's values aren't gathered: approximate quantiles cut them to ranges, counts of the
-    ranges tell in which the places lie, and only distinct values of those ranges are ranked. Null values don't count; a
-    key with none has no row.
+    Nothing is interpolated. The values of a key with WHOLE rows at most are put in order. Those of a larger one aren't gathered:
+    approximate quantiles cut them to ranges, counts of the ranges tell in which the places lie, and only distinct values of those
+    ranges are ranked. Null values don't count; a key with none has no row.
     """
     return _at_places(df, keys, value, {name: F.floor(F.lit(level) * F.col("n")) for name, level in levels.items()})
 
 
 def _at_places(df: DataFrame, keys: Sequence[str], value: str, place: dict[str, Column]) -> DataFrame:
     """keys, for each name the element at its place (by ``n``, how many there are) of a key's sorted values, and n."""
-    keys, levels = list(keys), list(place)
-    rows = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_k"))
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 1000).alias("_cuts"), F.sum("_k").alias("n"))
-    rows = rows.join(cuts, keys) if keys else rows.crossJoin(F.broadcast(cuts))
+    keys = list(keys)
+    rows = df.filter(F.col(value).isNotNull())
+    if not keys:
+        return _by_ranges(rows.select(value, F.lit(0).alias("_key")), value, place).agg(*[F.max(c).alias(c) for c in (*place, "n")])  # one row, of nothing too
+    # structs are equal where the same of their fields are null
+    rows = rows.select(*keys, value, F.struct(*keys).alias("_key"))
+    large = cut(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > WHOLE).select("_key"))
+    if large.isEmpty():
+        return _in_order(rows, keys, value, place)
+    small, rest = rows.join(F.broadcast(large), "_key", "left_anti"), rows.join(F.broadcast(large), "_key", "left_semi")
+    return _in_order(small, keys, value, place).unionByName(_by_ranges(rest, value, place).select("_key.*", *place, "n"))
+
+
+def _in_order(rows: DataFrame, keys: list[str], value: str, place: dict[str, Column]) -> DataFrame:
+    own = W.partitionBy(*keys)
+    rows = rows.select(*keys, value, F.row_number().over(own.orderBy(value)).alias("_i"), F.count(F.lit(1)).over(own).alias("n"))
+    return rows.groupBy(*keys).agg(*[F.max(F.when(at == F.col("_i") - 1, F.col(value))).alias(name) for name, at in place.items()], F.max("n").alias("n"))
+
+
+def _by_ranges(rows: DataFrame, value: str, place: dict[str, Column]) -> DataFrame:
+    """_key, the element at each place, and n, of few keys with many values each."""
+    levels = list(place)
+    rows = rows.groupBy("_key", value).agg(F.count(F.lit(1)).alias("_k"))
+    cuts = rows.groupBy("_key").agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 1000).alias("_cuts"), F.sum("_k").alias("n"))
+    # approximate quantiles differ with the order in which parts arrive: those that rows are counted by must be those they are ranked by
+    rows = rows.join(F.broadcast(cut(cuts)), "_key")
     rows = rows.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    counts = rows.groupBy(*keys, "_range").agg(F.sum("_k").alias("_in"), F.max("n").alias("n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_in").over(W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    counts = rows.groupBy("_key", "_range").agg(F.sum("_k").alias("_in"), F.max("n").alias("n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_in").over(W.partitionBy("_key").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     holds = [(place[n] >= F.col("_before")) & (place[n] < F.col("_before") + F.col("_in")) for n in levels]
-    wanted = before.filter(F.array_contains(F.array(*holds), True)).select(*keys, "_range", "_before")
-    some = rows.join(wanted, [*keys, "_range"])
-    upto = F.col("_before") + F.sum("_k").over(W.partitionBy(*keys, "_range").orderBy(value))
+    wanted = before.filter(F.array_contains(F.array(*holds), True)).select("_key", "_range", "_before")
+    some = rows.join(wanted, ["_key", "_range"])
+    upto = F.col("_before") + F.sum("_k").over(W.partitionBy("_key", "_range").orderBy(value))
     some = some.withColumn("_upto", upto)
     picked = [F.max(F.when((place[n] >= F.col("_upto") - F.col("_k")) & (place[n] < F.col("_upto")), F.col(value))).alias(n) for n in levels]
-    return some.groupBy(*keys).agg(*picked, F.max("n").alias("n")) if keys else some.agg(*picked, F.max("n").alias("n"))
+    return some.groupBy("_key").agg(*picked, F.max("n").alias("n"))
 
 
 def daily_counts(df: DataFrame, at: str, first: Column, last: Column, what: Column | None = None) -> DataFrame:
@@ -55,6 +79,7 @@ def rank_percentile(df: DataFrame, value: str, out: str, keys: Sequence[str] = (
     keys = list(keys)
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_k"))
     cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 1000).alias("_cuts"), F.sum("_k").alias("_n"))
+    cuts = cut(cuts)  # as in ``_by_ranges``
     counts = counts.join(cuts, keys) if keys else counts.crossJoin(F.broadcast(cuts))
     below = F.filter(F.coalesce("_cuts", F.array().cast(cuts.schema["_cuts"].dataType)), lambda c: c < F.col(value))
     counts = counts.withColumn("_range", F.size(below)).drop("_cuts")
