@@ -57,3 +57,17 @@ def test_planted_distances_come_back(spark):
     got = {(p.target, p.tx): p.at for p in Z.positions(d, "target", "tx", ["a", "b", "c"]).collect()}
     own = np.array([got["t", k] for k in range(40)])
     assert np.abs(distances(own) - distances(x)).max() < 1e-6 and got["u", 1] == [0.0, 0.0, 0.0]
+
+
+def test_parts_of_a_target_meet_its_model(spark, monkeypatch):
+    monkeypatch.setattr(Z, "PART", 15)
+    r = np.random.default_rng(1)
+    train = rows() + [("u", *x[1:]) for x in rows(3)[:70]]
+    model = Z.fit(spark.createDataFrame(train, SCHEMA), "target", "cluster", ["f", "g"], trees=20).cache()
+    new = [(k, n, *map(float, r.normal(3, 4, 2))) for n, k in enumerate(["t"] * 100 + ["u"] * 9 + ["v"] * 40)] + [("t", 500, float("nan"), 0.0), (None, 501, 0.0, 0.0)]
+    asked = spark.createDataFrame(new, "target string, tx long, f double, g double")
+    plan = Z.classify(asked, model, "target", "tx", ["f", "g"])
+    got = {x.tx: x for x in plan.collect()}
+    assert set(got) == {*range(109), 500} and got[500].cluster == -1 and np.isnan(got[500].lof)
+    monkeypatch.setattr(Z, "PART", 10**6)
+    assert {x.tx: x for x in Z.classify(asked, model, "target", "tx", ["f", "g"]).collect() if x.tx != 500} == {k: v for k, v in got.items() if k != 500}

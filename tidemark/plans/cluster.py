@@ -23,13 +23,29 @@ FAR, SOME, WELL = 4.0, 2.0, 2.75
 DRIFT, COVERAGE = 0.25, 0.6
 
 
+#: Rows of a distance matrix that are worked on at once, as the whole has 200 MB for MAX_TXS rows.
+BLOCK = 256
+
+
 def distances(x: np.ndarray) -> np.ndarray:
-    s = np.einsum("ij,ij->i", x, x)
-    d = np.sqrt(np.maximum(s[:, None] + s[None] - 2 * x @ x.T, 0))
+    s, d = np.einsum("ij,ij->i", x, x), 2 * x @ x.T
+    for i in range(0, len(x), BLOCK):
+        d[i : i + BLOCK] = np.sqrt(np.maximum(s[i : i + BLOCK, None] + s[None] - d[i : i + BLOCK], 0))
     np.fill_diagonal(d, 0)
     return d
 
 
+def nearest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` nearest others of each point, of equal ones the first, and how far they are."""
+    near, reach = np.empty((len(d), k), int), np.empty((len(d), k))
+    for i in range(0, len(d), BLOCK):
+        e = d[i : i + BLOCK].copy()
+        e[np.arange(len(e)), np.arange(i, i + len(e))] = np.inf
+        near[i : i + BLOCK] = np.argsort(e, 1, kind="stable")[:, :k]
+        reach[i : i + BLOCK] = np.take_along_axis(e, near[i : i + BLOCK], 1)
+    return near, reach
+
+
 def dbscan(d: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
     """Labels by density over a distance matrix, -1 for noise; clusters are numbered by their first core point, and a
     border point goes to the first cluster that reaches it."""
@@ -75,9 +91,7 @@ def local_outlier_factor(d: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
     k = min(k, n - 1)
     if k < 1:
         return np.ones(n)
-    e = d + np.diag(np.full(n, np.inf))
-    near = np.argsort(e, 1, kind="stable")[:, :k]
-    reach = np.take_along_axis(e, near, 1)
+    near, reach = nearest(d, k)
     far = reach[:, -1]
     density = 1 / (np.maximum(reach, far[near]).mean(1) + 1e-10)
     return density[near].mean(1) / density

@@ -2,8 +2,8 @@
 
 The fit sees the rows of a target together, which ``cluster.recent`` bounds. What it keeps: how features were scaled, centroid, radius and
 verdict of each cluster, the trees of an isolation forest as arrays of nodes, each training point with the distance to its k-th neighbour
-and its local density, and for both detectors the threshold and the range that training rows had. New rows are held against it by Column
-expressions alone: trees are walked node by node, and the outlier factor comes from the nearest training points.
+and its local density, and for both detectors the threshold and the range that training rows had. A model has megabytes, so it meets new rows
+PART at a time: trees are walked node by node, and the outlier factor comes from the nearest training points.
 """
 
 from __future__ import annotations
@@ -12,12 +12,16 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.cluster import CONTAMINATION, NEIGHBOURS, SAMPLE, distances
+from tidemark.operators.lineage import cut
+from tidemark.plans.cluster import BLOCK, CONTAMINATION, NEIGHBOURS, SAMPLE, distances, nearest
 
 TREES, RADIUS = 100, 0.95
+#: About so many rows of a target are held against its model at once.
+PART = 20_000
 NODE = "struct<feature:int,cut:double,left:int,right:int,path:double>"
 MODEL = (
     "center array<double>, scale array<double>, clusters array<struct<cluster:int,at:array<double>,radius:double,verdict:string>>, "
@@ -60,21 +64,30 @@ def forest(x: np.ndarray, trees: int, sample: int, seed: int) -> list[list[tuple
     return out
 
 
-def isolation_scores(x: np.ndarray, trees: list[list[tuple]], size: int) -> np.ndarray:
-    def path(row: np.ndarray, nodes: list[tuple]) -> float:
-        at = 0
-        while nodes[at][2] >= 0:
-            at = nodes[at][2] if row[nodes[at][0]] < nodes[at][1] else nodes[at][3]
-        return nodes[at][4]
+def _walked(x: np.ndarray, feature: np.ndarray, cut_at: np.ndarray, left: np.ndarray, right: np.ndarray, path: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Scores of rows by trees whose nodes lie one after the other from ``starts`` on, children by their places there."""
+    at = np.tile(starts, (len(x), 1))
+    rows = np.arange(len(x))[:, None]
+    while (inner := left[at] >= 0).any():
+        less = x[rows, feature[at]] < cut_at[at]
+        at = np.where(inner, np.where(less, left[at], right[at]), at)
+    total = np.zeros(len(x))
+    for t in range(len(starts)):
+        total += path[at[:, t]]
+    return 2 ** (-(total / len(starts)) / max(mean_path(size), 1e-9))
+
 
-    return np.array([2 ** (-np.mean([path(row, t) for t in trees]) / max(mean_path(size), 1e-9)) for row in x])
+def isolation_scores(x: np.ndarray, trees: list[list[tuple]], size: int) -> np.ndarray:
+    starts = np.cumsum([0, *map(len, trees)])[:-1]
+    feature, cut_at, left, right, path = (np.concatenate(v) for v in zip(*([np.array(c) for c in zip(*t)] for t in trees)))
+    first = np.repeat(starts, [len(t) for t in trees])
+    left, right = np.where(left < 0, -1, left + first), np.where(right < 0, -1, right + first)
+    return np.concatenate([np.zeros(0), *(_walked(x[i : i + BLOCK], feature, cut_at, left, right, path, starts, size) for i in range(0, len(x), BLOCK))])
 
 
 def neighbours(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distance to the k-th neighbour, local density and outlier factor of each point among the others."""
-    e = distances(x) + np.diag(np.full(len(x), np.inf))
-    near = np.argsort(e, 1, kind="stable")[:, :k]
-    reach = np.take_along_axis(e, near, 1)
+    near, reach = nearest(distances(x), k)
     far = reach[:, -1]
     density = 1 / (np.maximum(reach, far[near]).mean(1) + 1e-10)
     return far, density, density[near].mean(1) / density
@@ -112,56 +125,99 @@ def fit(df: DataFrame, target: str, cluster: str, features: Sequence[str], verdi
     return said.join(few, target).groupBy(target).applyInPandas(one, f"{target} {dict(df.dtypes)[target]}, {MODEL}")
 
 
-def _distance(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
-
-
-def _isolation(x: Column, trees: Column, size: Column) -> Column:
-    """A row's path through each tree, from node to node as deep as trees go, and the score of their mean."""
-    deepest = F.sequence(F.lit(1), F.ceil(F.log2(F.greatest(size, F.lit(2)))).cast("int"))
-
-    def walk(nodes: Column) -> Column:
-        def step(at: Column, _: Column) -> Column:
-            n = F.get(nodes, at)
-            return F.when(n["left"] < 0, at).when(F.get(x, n["feature"]) < n["cut"], n["left"]).otherwise(n["right"])
-
-        return F.get(nodes, F.aggregate(deepest, F.lit(0), step))["path"]
-
-    total = F.aggregate(trees, F.lit(0.0), lambda s, nodes: s + walk(nodes))
-    n = size.cast("double")
-    usual = F.when(size < 2, 0.0).when(size == 2, 1.0).otherwise(2 * (F.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n)
-    return F.pow(F.lit(2.0), -(total / F.size(trees)) / F.greatest(usual, F.lit(1e-9)))
-
-
-def _outlier_factor(near: Column) -> Column:
-    """From the nearest training points (d, far, density)."""
-    n = F.size(near)
-    mean = lambda f: F.aggregate(near, F.lit(0.0), lambda s, p: s + f(p)) / n
-    return mean(lambda p: p["density"]) * (mean(lambda p: F.greatest(p["d"], p["far"])) + 1e-10)
-
-
-def _within(v: Column, bounds: Column) -> Column:
-    """Where a score lies in the range of training rows, cut to 0..1."""
-    wide = bounds["hi"] - bounds["lo"]
-    return F.when(wide > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (v - bounds["lo"]) / wide))).otherwise(0.0)
+class _Model:
+    """A row of a model as arrays."""
+
+    def __init__(self, row: pa.StructScalar):
+        plain = lambda v, f: np.asarray(v.field(f))
+        self.center, self.scale = (np.array(row[n].as_py(), float) for n in ("center", "scale"))
+        self.clusters, self.size, self.k, self.iso, self.lof = (row[n].as_py() for n in ("clusters", "size", "k", "iso", "lof"))
+        trees = row["forest"].values
+        nodes, self.starts = trees.flatten(), np.cumsum([0, *trees.value_lengths().to_pylist()])[:-1]
+        first = np.repeat(self.starts, trees.value_lengths().to_pylist())
+        self.feature, self.cut_at, self.path = plain(nodes, "feature"), plain(nodes, "cut"), plain(nodes, "path")
+        self.left, self.right = (np.where(c < 0, -1, c + first) for c in (plain(nodes, "left"), plain(nodes, "right")))
+        points = row["points"].values
+        far, density = plain(points, "far"), plain(points, "density")
+        order = np.lexsort((density, far))  # of points as near as each other those that are first in this order count
+        self.points, self.far, self.density = np.asarray(points.field("x").flatten()).reshape(len(points), -1)[order], far[order], density[order]
+
+    def outlier_factors(self, x: np.ndarray) -> np.ndarray:
+        d, k = _gaps(x, self.points), min(self.k, len(self.points))
+        within = d <= np.partition(d, k - 1, 1)[:, k - 1 : k]
+        near = np.empty((len(x), k), int)
+        for many in (False, True):  # more than k where points are as far as each other
+            rows = np.flatnonzero((within.sum(1) != k) == many)
+            if len(rows):
+                near[rows] = np.argsort(d[rows], 1, kind="stable")[:, :k] if many else np.nonzero(within[rows])[1].reshape(len(rows), k)
+        reach = np.take_along_axis(d, near, 1)
+        order = np.argsort(reach, 1, kind="stable")
+        near, reach = np.take_along_axis(near, order, 1), np.take_along_axis(reach, order, 1)
+        wide, dense = np.zeros(len(x)), np.zeros(len(x))
+        for j in range(k):
+            wide, dense = wide + np.maximum(reach[:, j], self.far[near[:, j]]), dense + self.density[near[:, j]]
+        return dense / k * (wide / k + 1e-10)
+
+
+def _gaps(x: np.ndarray, points: np.ndarray) -> np.ndarray:
+    d = np.zeros((len(x), len(points)))
+    for f in range(x.shape[1]):
+        d += (x[:, f, None] - points[None, :, f]) ** 2
+    return np.sqrt(d)
+
+
+def _votes(v: np.ndarray, bounds: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Whether scores are at the threshold or above, and where they lie in the range of training rows, cut to 0..1. What isn't a number is above all."""
+    odd, wide = np.isnan(v), bounds["hi"] - bounds["lo"]
+    share = np.where(odd, 1.0, np.clip((v - bounds["lo"]) / wide, 0.0, 1.0)) if wide > 0 else np.zeros(len(v))
+    return ((v >= bounds["threshold"]) | odd).astype(np.int32), share
+
+
+def _judged(raw: np.ndarray, m: _Model) -> tuple[np.ndarray, ...]:
+    """cluster, iso, lof, votes, consensus, verdict of a block of rows."""
+    x = (raw - m.center) / m.scale
+    home, inside, said = np.full(len(x), -1, np.int32), np.zeros(len(x), bool), np.full(len(x), None, object)
+    if m.clusters:
+        known = sorted(m.clusters, key=lambda c: c["cluster"])
+        d = _gaps(x, np.array([c["at"] for c in known], float))
+        best = d.argmin(1)
+        inside = d[np.arange(len(x)), best] <= np.array([c["radius"] for c in known])[best]
+        home, said = np.where(inside, np.array([c["cluster"] for c in known], np.int32)[best], home), np.where(inside, np.array([c["verdict"] for c in known], object)[best], said)
+    iso, lof = _walked(x, m.feature, m.cut_at, m.left, m.right, m.path, m.starts, m.size), m.outlier_factors(x)
+    (v_iso, s_iso), (v_lof, s_lof) = _votes(iso, m.iso), _votes(lof, m.lof)
+    votes, consensus = v_iso + v_lof, (np.where(inside, 0.0, 1.0) + s_lof + s_iso) / 3
+    verdict = np.where(pd.isna(said), np.where(votes >= 2, ANOMALY, NORMAL).astype(object), said)
+    return home, iso, lof, votes, consensus, verdict
 
 
 def classify(df: DataFrame, model: DataFrame, target: str, row: str, features: Sequence[str]) -> DataFrame:
     """target, row, cluster, iso, lof, votes, consensus, verdict of new rows by the model of their target; rows whose target has none are left
     out. cluster is -1 outside the radius of the nearest one. Both detectors vote from their thresholds on; being outside every cluster
-    is none, as it tells what the detectors tell. The verdict is the cluster's, else an anomaly where both vote."""
-    met = df.select(target, row, *features).join(model, target)
-    scaled = F.array(*[(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) - F.get("center", F.lit(i))) / F.get("scale", F.lit(i)) for i, f in enumerate(features)])
-    rows = met.withColumn("_x", scaled)
-    x = F.col("_x")
-    home = F.array_min(F.transform("clusters", lambda c: F.struct(_distance(x, c["at"]).alias("d"), c["cluster"].alias("cluster"), c["radius"].alias("radius"), c["verdict"].alias("verdict"))))
-    near = F.slice(F.array_sort(F.transform("points", lambda p: F.struct(_distance(x, p["x"]).alias("d"), p["far"].alias("far"), p["density"].alias("density")))), F.lit(1), F.col("k"))
-    rows = rows.withColumns({"_home": home, "iso_score": _isolation(x, F.col("forest"), F.col("size")), "_near": near}).withColumn("lof_score", _outlier_factor(F.col("_near")))
-    inside = F.coalesce(F.col("_home.d") <= F.col("_home.radius"), F.lit(False))
-    votes = (F.col("iso_score") >= F.col("iso.threshold")).cast("int") + (F.col("lof_score") >= F.col("lof.threshold")).cast("int")
-    consensus = (F.when(inside, 0.0).otherwise(1.0) + _within(F.col("lof_score"), F.col("lof")) + _within(F.col("iso_score"), F.col("iso"))) / 3
-    verdict = F.coalesce(F.when(inside, F.col("_home.verdict")), F.when(votes >= 2, ANOMALY).otherwise(NORMAL))
-    return rows.select(target, row, F.when(inside, F.col("_home.cluster")).otherwise(-1).alias("cluster"), F.col("iso_score").alias("iso_"), F.col("lof_score").alias("lof_"), votes.alias("votes"), consensus.alias("consensus"), verdict.alias("verdict")).withColumnsRenamed({"iso_": "iso", "lof_": "lof"})
+    is none, as it tells what the detectors tell. The verdict is the cluster's, else an anomaly where both vote.
+
+    The rows of a large target are dealt to parts by their ids, and each part gets its model."""
+    features, kinds = list(features), dict(df.dtypes)
+    large = F.broadcast(cut(df.groupBy(target).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("_parts")).filter("_parts > 1")))
+    parts = F.coalesce("_parts", F.lit(1))
+    rows = df.select(target, row, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features]).join(large, target, "left")
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(F.col(row), *features), parts).cast("int")).drop("_parts")
+    model = model.join(large, target, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+
+    def one(new: pa.Table, of: pa.Table) -> pa.Table:
+        own = new.select([target, row])
+        if not of.num_rows or not new.num_rows:
+            blank = [np.zeros(0, np.int32), np.zeros(0), np.zeros(0), np.zeros(0, np.int32), np.zeros(0), np.zeros(0, object)]
+            found, own = blank, own.slice(0, 0)
+        else:
+            m = _Model(of.combine_chunks().to_batches()[0].to_struct_array()[0])
+            raw = np.stack([np.asarray(new[f].combine_chunks()) for f in features], 1)
+            found = [np.concatenate(v) for v in zip(*(_judged(raw[i : i + BLOCK], m) for i in range(0, len(raw), BLOCK)))]
+        for name, v, kind in zip(("cluster", "iso", "lof", "votes", "consensus", "verdict"), found, (pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.float64(), pa.string())):
+            own = own.append_column(name, pa.array(v, kind))
+        return own
+
+    key = [target, "_part"]
+    return rows.groupBy(*key).cogroup(model.groupBy(*key)).applyInArrow(one, f"{target} {kinds[target]}, {row} {kinds[row]}, cluster int, iso double, lof double, votes int, consensus double, verdict string")
 
 
 def scaled_positions(d: np.ndarray, dims: int = 3) -> np.ndarray:
