@@ -43,6 +43,19 @@ def range_neighbours(left: DataFrame, right: DataFrame, on: Sequence[str], left_
     return met.filter(F.abs(F.col(left_at) - F.col(right_at)) <= reach).drop("_bucket")
 
 
+def victims_and_gaps(df: DataFrame, group: str, actor: str, at: str, row: str, reach: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (_own, v) and gaps (actor, p, q) of each _group and stretch (_time) of twice ``reach``; v, p and q have ``at`` and ``row``. A gap is between
+    rows of an actor that follow each other, no more than twice ``reach`` apart, and is in all stretches that it touches."""
+    width = max(1, 2 * reach)
+    rows = df.select(F.col(group).alias("_group"), F.col(actor).alias("actor"), F.struct(F.col(at).alias("at"), F.col(row).alias("row")).alias("p")).distinct()
+    rows = rows.filter("actor IS NOT NULL AND p.at IS NOT NULL").withColumn("_time", F.floor(F.col("p.at") / width))
+    both = rows.withColumn("_of", F.explode(F.array(F.col("_time"), F.col("_time") - 1)))
+    after = F.lead("p").over(W.partitionBy("_group", "actor", "_of").orderBy("p"))
+    gaps = both.withColumn("q", after).filter((F.col("_of") == F.col("_time")) & (F.col("q.at") - F.col("p.at") <= 2 * reach))
+    gaps = gaps.select("_group", "actor", "p", "q", F.explode(F.array_distinct(F.array(F.col("_time"), F.floor(F.col("q.at") / width)))).alias("_time"))
+    return rows.select("_group", "_time", F.col("actor").alias("_own"), F.col("p").alias("v")), gaps
+
+
 def brackets(df: DataFrame, group: str, actor: str, at: str, row: str, reach: int) -> DataFrame:
     """For each row (the victim) and each other actor with rows on both sides of it in the group within ``reach``: the last
     before and the first after. Columns: victim, actor, before, after, span. ``row`` tells rows apart.
@@ -51,14 +64,7 @@ def brackets(df: DataFrame, group: str, actor: str, at: str, row: str, reach: in
     the join. No gap is wider than twice ``reach``: rows are cut to stretches of that width, and an actor's rows are put in
     order within two stretches at a time.
     """
-    width = max(1, 2 * reach)
-    rows = df.select(F.col(group).alias("_group"), F.col(actor).alias("actor"), F.struct(F.col(at).alias("at"), F.col(row).alias("row")).alias("p")).distinct()
-    rows = rows.filter("actor IS NOT NULL AND p.at IS NOT NULL").withColumn("_time", F.floor(F.col("p.at") / width))
-    both = rows.withColumn("_of", F.explode(F.array(F.col("_time"), F.col("_time") - 1)))
-    after = F.lead("p").over(W.partitionBy("_group", "actor", "_of").orderBy("p"))
-    gaps = both.withColumn("q", after).filter((F.col("_of") == F.col("_time")) & (F.col("q.at") - F.col("p.at") <= 2 * reach))
-    gaps = gaps.select("_group", "actor", "p", "q", F.explode(F.array_distinct(F.array(F.col("_time"), F.floor(F.col("q.at") / width)))).alias("_time"))
-    victims = rows.select("_group", "_time", F.col("actor").alias("_own"), F.col("p").alias("v"))
+    victims, gaps = victims_and_gaps(df, group, actor, at, row, reach)
     met = victims.join(gaps, ["_group", "_time"]).filter(
         (F.col("actor") != F.col("_own")) & (F.col("v") > F.col("p")) & (F.col("v") < F.col("q")) & (F.col("v.at") - F.col("p.at") <= reach) & (F.col("q.at") - F.col("v.at") <= reach)
     )
@@ -106,11 +112,12 @@ def nearest(left: DataFrame, right: DataFrame, on: Sequence[str], left_at: str,
 
 
 def cycles(edges: DataFrame, start: str = "src", end: str = "dst", at: str = "slot", hops: int = 6, reach: int = 86_400, rows_a_hop: int | None = None) -> DataFrame:
-    """origin, cycle_length, first_slot: the shortest way that money returns to each origin, along edges in time order.
+    """origin, cycle_length, slot: the shortest way that money returns to each origin, along edges in time order.
 
     Breadth first for all origins at once: a frontier of (origin, address) with the least slot, joined with the edges hop
     by hop; an origin that was reached again leaves, and addresses met before are not met again. cycle_length is hops + 1,
-    as a return on the first onward hop is a cycle of two.
+    as a return on the first onward hop is a cycle of two. Only edges back to the origin are met first, so that an origin that
+    they reach makes no other rows; of the others an address is written once a hop, whatever the number of ways to it.
     """
     e = cut(edges.select(F.col(start).alias("u"), F.col(end).alias("v"), F.col(at).alias("s")).filter("u <> v"))
     front = e.groupBy(F.col("u").alias("origin"), F.col("v").alias("at")).agg(F.min("s").alias("slot"))
@@ -118,11 +125,17 @@ def cycles(edges: DataFrame, start: str = "src", end: str = "dst", at: str = "sl
     seen, found = front.select("origin", F.col("at").alias("addr")), None
     for hop in range(1, hops + 1):
         # no edge goes on from a place met after the reach
-        step = front.filter(F.col("slot") <= F.col("first") + reach).join(e, F.col("at") == F.col("u")).filter((F.col("s") >= F.col("slot")) & (F.col("s") <= F.col("first") + reach))
+        going, in_time = front.filter(F.col("slot") <= F.col("first") + reach), (F.col("s") >= F.col("slot")) & (F.col("s") <= F.col("first") + reach)
         if rows_a_hop is not None:
+            step = going.join(e, F.col("at") == F.col("u")).filter(in_time)
             step = step.withColumn("_n", F.row_number().over(W.partitionBy("origin").orderBy("s", "u", "v"))).filter(F.col("_n") <= rows_a_hop).drop("_n")
-        step = cut(step.select("origin", "v", "s", "first"))
-        back = step.filter("v = origin").groupBy("origin").agg(F.min("s").alias("slot")).select("origin", F.lit(hop + 1).alias("cycle_length"), "slot")
+            step = cut(step.select("origin", "v", "s", "first"))
+            home = step.filter("v = origin")
+        else:
+            home = going.join(e, (F.col("at") == F.col("u")) & (F.col("origin") == F.col("v"))).filter(in_time)
+        back = cut(home.groupBy("origin").agg(F.min("s").alias("slot")).select("origin", F.lit(hop + 1).alias("cycle_length"), "slot"))
+        if rows_a_hop is None:
+            step = going.join(back.select("origin"), "origin", "left_anti").join(e, F.col("at") == F.col("u")).filter(in_time)
         found = back if found is None else found.unionByName(back)
         if hop == hops:
             break
