@@ -34,14 +34,17 @@ def cycle_paths(edges: DataFrame, hops: int = 6, reach: int = 86_400) -> DataFra
     seen, found = front.select("origin", F.col("at").alias("addr")), None
     for hop in range(1, hops + 1):
         last = F.col("first") + reach
-        onward = front.filter(F.col("slot") <= last).join(e, F.col("at") == F.col("u")).filter((F.col("s") >= F.col("slot")) & (F.col("s") <= last))
+        going, in_time = front.filter(F.col("slot") <= last), (F.col("s") >= F.col("slot")) & (F.col("s") <= last)
         best = F.min(F.struct(F.col("s").alias("slot"), F.concat("path", F.array(step("v"))).alias("path"))).alias("m")
-        met = cut(onward.groupBy("origin", F.col("v").alias("at")).agg(best, F.min("first").alias("first")))
-        back = met.filter("at = origin").select("origin", F.lit(hop + 1).alias("cycle_length"), "m.path")
+        # edges back to the origin first: an origin that they reach goes no further
+        home = going.join(e, (F.col("at") == F.col("u")) & (F.col("origin") == F.col("v"))).filter(in_time)
+        back = cut(home.groupBy("origin").agg(best).select("origin", F.lit(hop + 1).alias("cycle_length"), "m.path"))
         found = back if found is None else found.unionByName(back)
         if hop == hops:
             break
-        rest = met.join(back.select("origin"), "origin", "left_anti").join(seen.withColumnRenamed("addr", "at"), ["origin", "at"], "left_anti")
+        onward = going.join(back.select("origin"), "origin", "left_anti").join(e, F.col("at") == F.col("u")).filter(in_time)
+        met = onward.groupBy("origin", F.col("v").alias("at")).agg(best, F.min("first").alias("first"))
+        rest = met.join(seen.withColumnRenamed("addr", "at"), ["origin", "at"], "left_anti")
         front = cut(rest.select("origin", "at", "m.slot", "m.path", "first"))
         if front.isEmpty():
             break
