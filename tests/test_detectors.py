@@ -5,6 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import joins
 from tidemark.plans import detectors as D
 
 EDGE = "src string, dst string, slot long, amount long"
@@ -75,3 +76,28 @@ def test_means_as_of_equal_a_plain_loop(spark):
     for x in got:
         own = [v for p, t, v in rows if p == x.pool and x.at - 25 <= t < x.at]
         assert x.m == (round(sum(own) / len(own), 6) if own else None)
+
+
+def test_origins_that_were_returned_to_go_no_further(spark, monkeypatch):
+    """All know all: what is written of a hop is no more than the pairs of addresses, however many ways there are."""
+    edges = [(str(i), str(j), s, 5) for i in range(12) for j in range(12) if i != j for s in range(6)]
+    for module, ways in ((joins, joins.cycles), (D, D.cycle_paths)):
+        written, real = [], module.cut
+        monkeypatch.setattr(module, "cut", lambda df, real=real, written=written: (d := real(df), written.append(d.count()))[0])
+        got = ways(spark.createDataFrame(edges, EDGE), hops=3, reach=100).collect()
+        assert sorted((x.origin, x.cycle_length) for x in got) == sorted((str(i), 2) for i in range(12))
+        assert written[0] == len(edges) and max(written[1:]) <= 12 * 11
+
+
+def test_best_brackets_are_those_of_all_brackets(spark, monkeypatch):
+    r = random.Random(7)
+    legs = [(k, r.choice("pq"), r.randrange(6), r.randrange(300), r.choice([-1, 0, 1, 1, 5]) * 10**15 + r.randrange(2), 1.0 + r.random(), False) for k in range(400)]
+    legs = spark.createDataFrame(legs, "tx long, pool string, actor long, at long, net long, rate double, is_script boolean")
+    net = {x.tx: x.net for x in legs.collect()}
+    want = {}
+    for b in joins.brackets(legs, "pool", "actor", "at", "tx", 20).collect():
+        best = (-(net[b.before] + net[b.after]), b.actor, b.before, b.after, b.span)
+        want[b.victim] = min(best, want.get(b.victim, best))
+    monkeypatch.setattr(D, "brackets", None, raising=False)  # all brackets are never made
+    got = {x.victim: (-x.profit, x.actor, x.before, x.after, x.span) for x in D.sandwich_scores(legs, 20, 50).collect()}
+    assert len(want) > 100 and got == want

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.joins import brackets
+from tidemark.operators.joins import victims_and_gaps
 from tidemark.operators.lineage import cut
 from tidemark.plans import scorers
 
@@ -98,6 +100,46 @@ def as_of_mean(swaps: DataFrame, pool: str, at: str, rate: str, reach: int, out:
     return swaps.join(both.withColumn(out, mean).filter("_of = _time").select(pool, at, out), [pool, at], "left")
 
 
+def _most_profitable(victims: DataFrame, gaps: DataFrame, reach: int) -> DataFrame:
+    """victim and the best gap around it within ``reach`` on both sides, for victims that have one, by _group and _time.
+
+    Victims in order, a gap's are neighbours, and none is of its own actor, whose rows follow each other. The gaps take what is left of
+    theirs, best first, so that a stretch costs as many steps as it has victims and gaps; pairs of both aren't made.
+    """
+    fields = ["actor", "before", "after", "span", "profit", "_unknown", "price_impact"]
+    kinds = dict(victims.dtypes) | dict(gaps.dtypes)
+
+    def one(v: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["_unknown", "profit", "actor"], ascending=[True, False, True], kind="stable")
+        n, m = len(v), len(g)
+        at, row = (pd.factorize(pd.concat(c, ignore_index=True), sort=True)[0].astype(np.int64) for c in ((v["_at"], g["_from"], g["_to"]), (v["victim"], g["before"], g["after"])))
+        place = at * (row.max(initial=0) + 2) + row + 1
+        order = np.argsort(place[:n], kind="stable")
+        mine, times = place[:n][order], v["_at"].to_numpy()[order]
+        first = np.maximum(np.searchsorted(mine, place[n : n + m], "right"), np.searchsorted(times, g["_to"].to_numpy() - reach, "left")).tolist()
+        last = np.minimum(np.searchsorted(mine, place[n + m :], "left"), np.searchsorted(times, g["_from"].to_numpy() + reach, "right")).tolist()
+        free, taken = list(range(n + 1)), np.full(n, -1)  # free: the next victim without a gap, by steps
+
+        def next_free(i: int) -> int:
+            while free[i] != i:
+                free[i] = free[free[i]]
+                i = free[i]
+            return i
+
+        for k in range(m):
+            i = next_free(first[k]) if first[k] < last[k] else n
+            while i < last[k]:
+                taken[i], free[i] = k, i + 1
+                i = next_free(i + 1)
+        hit = np.flatnonzero(taken >= 0)
+        out = g[fields].iloc[taken[hit]].reset_index(drop=True)
+        out.insert(0, "victim", v["victim"].to_numpy()[order][hit])
+        return out
+
+    gaps = gaps.select(F.col("_group").alias("_g"), F.col("_time").alias("_t"), "_from", "_to", *fields)
+    return victims.groupBy("_group", "_time").cogroup(gaps.groupBy("_g", "_t")).applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in ["victim", *fields]))
+
+
 def sandwich_scores(legs: DataFrame, reach: int, rates_reach: int) -> DataFrame:
     """For each victim the bracket that earned most, of equal ones the least actor's: victim, actor, before, after, what
     ``scorers.sandwich`` reads, and its result.
@@ -109,10 +151,15 @@ def sandwich_scores(legs: DataFrame, reach: int, rates_reach: int) -> DataFrame:
     """
     known = as_of_mean(legs, "pool", "at", "rate", rates_reach, "baseline").withColumn("off", F.abs(F.col("rate") - F.col("baseline")) / F.nullif(F.col("baseline"), F.lit(0.0)))
     wallets = legs.filter(~F.col("is_script")).select("actor").distinct()
-    found = brackets(legs, "pool", "actor", "at", "tx", reach).join(wallets, "actor")
     side = lambda name, *cols: known.select(F.col("tx").alias(name), *[F.col(a).alias(b) for a, b in cols]).dropDuplicates([name])
-    rows = found.join(side("before", ("net", "_a"), ("off", "price_impact")), "before").join(side("after", ("net", "_b")), "after").withColumn("profit", F.col("_a") + F.col("_b"))
-    best = rows.withColumn("_less", -F.col("profit")).groupBy("victim").agg(F.min_by(F.struct("actor", "before", "after", "span", "profit", "price_impact"), F.struct("_less", "actor")).alias("b"))
+    victims, gaps = victims_and_gaps(legs, "pool", "actor", "at", "tx", reach)
+    gaps = gaps.join(wallets, "actor").select("_group", "_time", "actor", F.col("p.at").alias("_from"), F.col("q.at").alias("_to"), F.col("p.row").alias("before"), F.col("q.row").alias("after"))
+    gaps = gaps.join(side("before", ("net", "_a"), ("off", "price_impact")), "before").join(side("after", ("net", "_b")), "after")
+    gaps = gaps.withColumns({"profit": F.coalesce(F.col("_a") + F.col("_b"), F.lit(0)), "_unknown": (F.col("_a") + F.col("_b")).isNull(), "span": F.col("_to") - F.col("_from")}).drop("_a", "_b")
+    found = _most_profitable(victims.select("_group", "_time", F.col("v.at").alias("_at"), F.col("v.row").alias("victim")), gaps, reach)
+    order = F.struct("_unknown", -F.col("profit"), "actor")
+    known_profit = F.when(~F.col("_unknown"), F.col("profit")).alias("profit")
+    best = found.groupBy("victim").agg(F.min_by(F.struct("actor", "before", "after", "span", known_profit, "price_impact"), order).alias("b"))
     rows = best.select("victim", "b.*").join(side("victim", ("at", "_at"), ("off", "rate_delta")), "victim")
     # earlier transactions of the actor: a running count over its instants, looked up at the victim's
     times = legs.select("actor", "at", "tx").distinct().groupBy("actor", "at").agg(F.count(F.lit(1)).alias("_n"))
