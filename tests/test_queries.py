@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 from itertools import combinations
 
+from tidemark.operators import joins
 from tidemark.queries import QUERIES
 
 
@@ -20,6 +21,21 @@ def test_jaccard_pairs_of_late_orders(spark, tmp_path):
     assert got == {k: v for k, v in want.items() if v[1] >= 0.2} and (3000, 4001) in got and (1, 9_000_000) in got
 
 
+def test_jaccard_pairs_are_judged_where_they_meet(spark, monkeypatch):
+    r = random.Random(4)
+    items = {k: {r.randrange(60) for _ in range(r.choice([1, 2, 4, 6, 30]))} | ({None} if k % 5 == 0 else set()) for k in range(80)}
+    d = spark.createDataFrame([(k, i) for k, v in items.items() for i in v] + [(1, min(v for v in items[1] if v is not None))], "k long, i long")
+    want = {}
+    for a, b in combinations(items, 2):
+        n = len((items[a] & items[b]) - {None})
+        if n and n / (len(items[a]) + len(items[b]) - n) >= 0.2:
+            want[a, b] = (n, n / (len(items[a]) + len(items[b]) - n))
+    for small in (64, 8, 0):
+        monkeypatch.setattr(joins, "SMALL", small)
+        pairs = joins.jaccard_pairs(d, "k", "i", 0.2)
+        assert {(x.a, x.b): (x.common, x.similarity) for x in pairs.collect()} == want and pairs.count() == len(want)
+
+
 def first_returns(edges, hops, reach):
     """origin -> (cycle_length, slot), by a search from each origin alone."""
     found = {}

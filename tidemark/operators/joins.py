@@ -147,13 +147,43 @@ def cycles(edges: DataFrame, start: str = "src", end: str = "dst", at: str = "sl
     return found
 
 
+#: Rows with so many items at most take their items along to where they meet others.
+SMALL = 64
+
+
 def jaccard_pairs(df: DataFrame, row: str, item: str, least: float) -> DataFrame:
-    """a, b, common, similarity of rows that share items, by an inverted join: pairs that share nothing are never made."""
-    rows = df.select(row, item).distinct()
+    """a, b, common, similarity of rows that share items, by an inverted join: pairs that share nothing are never made.
+
+    Where ``least`` is above 0, rows of SMALL items at most have their items with them: a pair is judged at its first common item, so
+    that only pairs that are similar enough leave the join. Pairs with a larger row are counted over their items.
+    """
+    rows = df.select(row, item).filter(F.col(row).isNotNull()).repartition(F.col(row)).distinct()
     sizes = rows.groupBy(row).agg(F.count(F.lit(1)).alias("n"))
-    a = rows.select(F.col(row).alias("a"), item)
-    b = rows.select(F.col(row).alias("b"), item)
-    common = a.join(b, item).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
+    if least <= 0:
+        return _counted_pairs(rows, sizes, row, item, least)
+    large = cut(sizes.filter(F.col("n") > SMALL).select(row))
+    some = not large.isEmpty()
+    own = (rows.join(F.broadcast(large), row, "left_anti") if some else rows).groupBy(row).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(item)).alias("items"))
+    posts = own.select(F.col(row).alias("r"), "n", "items", F.explode("items").alias("_item"))
+    side = lambda s: posts.select(F.col("r").alias(s), F.col("n").alias(f"n{s}"), F.col("items").alias(f"i{s}"), "_item")
+    shared = F.array_intersect("ia", "ib")  # in the order of the first
+    met = side("a").join(side("b"), "_item").filter((F.col("a") < F.col("b")) & (F.get(shared, F.lit(0)) == F.col("_item")))
+    met = met.select("a", "b", F.size(shared).cast("long").alias("common"), "na", "nb")
+    similarity = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
+    found = met.select("a", "b", "common", similarity.alias("similarity")).filter(F.col("similarity") >= least)
+    return found.unionByName(_counted_pairs(rows, sizes, row, item, least, large)) if some else found
+
+
+def _counted_pairs(rows: DataFrame, sizes: DataFrame, row: str, item: str, least: float, large: DataFrame | None = None) -> DataFrame:
+    """As ``jaccard_pairs``, of all rows or of pairs with a row of ``large``."""
+    if large is not None:
+        rows = rows.join(F.broadcast(large.withColumn("_large", F.lit(True))), row, "left")
+    else:
+        rows = rows.withColumn("_large", F.lit(True))
+    one_large = F.coalesce("_la", "_lb", F.lit(False))
+    a = rows.select(F.col(row).alias("a"), item, F.col("_large").alias("_la"))
+    b = rows.select(F.col(row).alias("b"), item, F.col("_large").alias("_lb"))
+    common = a.join(b, item).filter((F.col("a") < F.col("b")) & one_large).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
     out = common.join(sizes.select(F.col(row).alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col(row).alias("b"), F.col("n").alias("nb")), "b")
     similarity = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
     return out.select("a", "b", "common", similarity.alias("similarity")).filter(F.col("similarity") >= least)
